@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.jaccard_join import jaccard_classes
+from gleaner.llm.kneser_ney import perplexities
 from gleaner.llm.line_dedup import line_report
 from gleaner.llm.media import text_media
 from gleaner.llm.substring_dedup import substring_dedup
@@ -56,6 +57,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
