@@ -11,6 +11,7 @@ from gleaner.llm.kneser_ney import perplexities
 from gleaner.llm.line_dedup import line_report
 from gleaner.llm.media import text_media
 from gleaner.llm.substring_dedup import substring_dedup
+from gleaner.llm.toxicity import severities
 from gleaner.llm.url_filter import filter_urls
 from gleaner.llm.warc import archive_pages, read_pages
 
@@ -32,6 +33,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"), min_docs=3, min_chars=20)
 
 
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), max_labelled=8000)
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
