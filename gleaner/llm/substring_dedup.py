@@ -6,7 +6,7 @@ Two passes over whole texts.
    it; equal windows have equal minimizers at equal places, so the number of places at which a minimizer is chosen
    overestimates no window by less than its own count. Partition sketches of the minimizers are merged
    (``sketch.mark_repeated``) into bitmaps of fixed size.
-2. Only windows whose minimizer is estimated repeated are grouped, by a 128-bit hash. Blocks of documents send each
+2. Only windows whose minimizer is estimated repeated are grouped, by a 96-bit hash. Blocks of documents send each
    distinct hash once, with its first place in the block, to the hash's range; the range replies with one bit an
    entry: whether the first place of all is in that block. So a window in a third of all documents costs its range
    one entry a block, and no task gathers the occurrences of a window.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import sketch
 from gleaner.llm.textkernel import Chunk, chunks, rolling
-from gleaner.workspace import Workspace, shuffle_width
 
 #: Hash ranges that windows are dealt to; a power of two.
 RANGES = 64
@@ -68,128 +67,137 @@ def _sha(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest()
 
 
-def _kept(chunk: Chunk, row: int, drop: np.ndarray | None) -> bytes:
-    a, b = chunk.word_at[row], chunk.word_at[row + 1]
-    pairs = zip(chunk.starts[a:b].tolist(), chunk.ends[a:b].tolist(), strict=True)
-    data = chunk.data.tobytes() if drop is None else None
-    raw = memoryview(chunk.data)
-    if drop is None:
-        return b" ".join([data[s:e] for s, e in pairs])
-    return b" ".join([bytes(raw[s:e]) for (s, e), d in zip(pairs, drop.tolist(), strict=True) if not d])
+def _kept(chunk: Chunk, row: int, drop: np.ndarray) -> bytes:
+    words = bytes(chunk.data[chunk.offsets[row] : chunk.offsets[row + 1]]).split()
+    return b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d])
+
+
+_DOCS = "block long, n_entries int, doc_id long, n_words long, sha string, text string, starts binary, entries binary"
+_ASKED = "part int, block long, base int, asked binary"
+
+
+class _Windows:
+    """The windows of a chunk that may be repeated, and the chunk's distinct ones in hash order."""
+
+    def __init__(self, c: Chunk, ids: np.ndarray, marks: sketch.Marks, window: int, gram: int):
+        words = c.word_hash()
+        starts, place, grams = _anchors(c, words, window, gram)
+        starts = starts[marks.reach(grams[place])] if len(place) else starts
+        self.row = np.searchsorted(c.word_at, starts, "right") - 1
+        self.at = starts - c.word_at[self.row]
+        doc = ids[c.first : c.last]
+        h1 = rolling(words, window)[starts] if len(starts) else np.zeros(0, np.uint64)
+        h2 = (rolling(c.word_hash(1), window, 1)[starts] >> np.uint64(32)).astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
+        order = np.lexsort((self.at, doc[self.row], h2, h1))
+        a, b = h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.head = order[new]
+        self.first_here = np.zeros(len(order), bool)
+        self.first_here[self.head] = True
+        self.h1, self.h2, self.doc = h1[self.head], h2[self.head], doc[self.row[self.head]]
+
+    def asked(self) -> list[tuple[int, int, bytes]]:
+        """(range, index of its first entry, entries) of each range that has any."""
+        cut = np.searchsorted(self.h1, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1))
+        edge = [0, *cut.tolist(), len(self.h1)]
+        at = self.at[self.head].astype(np.int32)
+        return [(p, s, b"".join(x[s:e].tobytes() for x in (self.h1, self.doc, self.h2, at))) for p, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if s < e]
+
+
+def _blocks(batches, marks, window, gram):
+    """Chunks in the order of the task's rows: the same in every attempt and in both passes, so they can be numbered."""
+    from pyspark import TaskContext
+
+    task, serial = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+        for c in chunks(batch.column("text")):
+            yield (task << 32) + serial, c, batch, _Windows(c, ids, marks, window, gram)
+            serial += 1
+
 
+def _ask(sent, window: int, gram: int):
+    def of(batches):
+        for block, _, _, w in _blocks(batches, sent.value, window, gram):
+            rows = w.asked()
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
+                pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "block", "base", "asked"])
 
-_BLOCK = "part int, block long, doc_id long, n_words long, sha string, text string, starts binary, entries binary, asked binary"
+    return of
 
 
-def _entries(sent, window: int, gram: int):
-    """For each chunk: a row a document, and a row for each hash range with the block's distinct windows."""
+def _documents(sent, window: int, gram: int):
+    """A row a document; those without a marked window are finished, the others carry text and windows."""
 
     def of(batches):
-        from pyspark import TaskContext
-
-        task, serial = TaskContext.get().partitionId(), 0
-        marks = sent.value
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            texts = batch.column("text")
-            for c in chunks(texts):
-                block, serial = (task << 32) + serial, serial + 1
-                words = c.word_hash()
-                starts, place, grams = _anchors(c, words, window, gram)
-                hit = marks.reach(grams[place]) if len(place) else np.zeros(0, bool)
-                starts = starts[hit]
-                doc = ids[c.first : c.last]
-                row = np.searchsorted(c.word_at, starts, "right") - 1
-                h1 = rolling(words, window)[starts]
-                h2 = rolling(c.word_hash(1), window, 1)[starts] if len(starts) else h1
-                at = starts - c.word_at[row]
-                order = np.lexsort((at, doc[row], h2, h1))
-                a, b = h1[order], h2[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                entry = np.empty(len(order), np.int64)
-                entry[order] = np.cumsum(new) - 1
-                mine = np.zeros(len(order), bool)
-                mine[order[new]] = True
-                head = order[new]
-                u1, u2 = h1[head], h2[head]
-                cut = np.searchsorted(u1, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1))
-                edge = [0, *cut.tolist(), len(u1)]
-                # a chosen place carries the entry with its top bit set
-                coded = (entry | (mine.astype(np.int64) << 40))
-                by_row = np.searchsorted(row, np.arange(c.rows + 1))
-                out = {k: [] for k in ("part", "block", "doc_id", "n_words", "sha", "text", "starts", "entries", "asked")}
-
-                def put(out=out, block=block, **x):
-                    for k in out:
-                        out[k].append(block if k == "block" else x.get(k))
-
-                for r in range(c.rows):
-                    s, e = by_row[r], by_row[r + 1]
-                    n = int(c.word_at[r + 1] - c.word_at[r])
-                    if s == e:
-                        put(part=-1, doc_id=int(doc[r]), n_words=n, sha=_sha(b" ".join(bytes(c.data[c.offsets[r] : c.offsets[r + 1]]).split(None)) if n else b""))
-                    else:
-                        put(part=-2, doc_id=int(doc[r]), n_words=n, text=texts[c.first + r].as_py(), starts=at[s:e].astype(np.int32).tobytes(), entries=coded[s:e].tobytes())
-                for p in range(RANGES):
-                    s, e = edge[p], edge[p + 1]
-                    if s < e:
-                        asked = np.empty(e - s, [("h1", "u8"), ("h2", "u8"), ("doc", "i8"), ("at", "i4")])
-                        asked["h1"], asked["h2"] = u1[s:e], u2[s:e]
-                        asked["doc"], asked["at"] = doc[row[head[s:e]]], at[head[s:e]]
-                        put(part=p, doc_id=s, asked=b"".join(asked[k].tobytes() for k in asked.dtype.names))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(out["part"], pa.int32()), pa.array(out["block"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()),
-                    pa.array(out["sha"], pa.string()), pa.array(out["text"], pa.string()), *(pa.array(out[k], pa.binary()) for k in ("starts", "entries", "asked"))], list(out))
+        for block, c, batch, w in _blocks(batches, sent.value, window, gram):
+            coded = w.entry.astype(np.uint32) | (w.first_here.astype(np.uint32) << np.uint32(31))
+            edge = np.searchsorted(w.row, np.arange(c.rows + 1)).tolist()
+            n_words = np.diff(c.word_at)
+            sha, text, starts, entries = [], [], [], []
+            for r in range(c.rows):
+                s, e = edge[r], edge[r + 1]
+                clean = s == e
+                sha.append(_sha(b" ".join(bytes(c.data[c.offsets[r] : c.offsets[r + 1]]).split())) if clean else None)
+                text.append(None if clean else batch.column("text")[c.first + r].as_py())
+                starts.append(None if clean else w.at[s:e].astype(np.int32).tobytes())
+                entries.append(None if clean else coded[s:e].tobytes())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block] * c.rows, pa.int64()), pa.array([len(w.h1)] * c.rows, pa.int32()), batch.column("doc_id").slice(c.first, c.rows), pa.array(n_words, pa.int64()),
+                pa.array(sha, pa.string()), pa.array(text, pa.string()), pa.array(starts, pa.binary()), pa.array(entries, pa.binary())],
+                ["block", "n_entries", "doc_id", "n_words", "sha", "text", "starts", "entries"])
 
     return of
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """One slice of a hash range: which of each block's entries hold the first place of all."""
-    sizes = [len(x.as_buffer()) // 28 for x in table.column("asked")]
+    """One hash range: which of each block's entries hold the first place of all."""
+    sizes = [len(x.as_buffer()) // 24 for x in table.column("asked")]
     total = sum(sizes)
-    h1, h2, doc, at = np.empty(total, np.uint64), np.empty(total, np.uint64), np.empty(total, np.int64), np.empty(total, np.int32)
-    o = 0
-    for x, n in zip(table.column("asked"), sizes, strict=True):
+    h1, doc, h2, at = np.empty(total, np.uint64), np.empty(total, np.int64), np.empty(total, np.uint32), np.empty(total, np.int32)
+    edges = np.cumsum([0, *sizes])
+    for x, n, o in zip(table.column("asked"), sizes, edges, strict=False):
         buf = x.as_buffer()
-        for whole, kind, skip in ((h1, np.uint64, 0), (h2, np.uint64, 8), (doc, np.int64, 16), (at, np.int32, 24)):
-            whole[o : o + n] = np.frombuffer(buf, kind, n, skip * n)
-        o += n
-    owner = np.repeat(np.array(table.column("block").to_pylist(), np.int64), sizes)
+        for whole, skip in ((h1, 0), (doc, 8), (h2, 16), (at, 20)):
+            whole[o : o + n] = np.frombuffer(buf, whole.dtype, n, skip * n)
+    owner = np.repeat(table.column("block").to_numpy(), sizes)
     order = np.lexsort((owner, at, doc, h2, h1))
     first = np.ones(total, bool)
     a, b = h1[order], h2[order]
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     flag = np.zeros(total, bool)
     flag[order] = first
-    edges = np.cumsum([0, *sizes])
-    return pa.table({
-        "block": table.column("block").cast(pa.int64()), "base": table.column("doc_id").cast(pa.int64()), "n": pa.array(sizes, pa.int32()),
-        "bits": pa.array([np.packbits(flag[edges[i] : edges[i + 1]]).tobytes() for i in range(len(sizes))], pa.binary())})
+    bits = [np.packbits(flag[edges[i] : edges[i + 1]]).tobytes() for i in range(len(sizes))]
+    return pa.table({"block": table.column("block"), "base": table.column("base"), "n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
 def _apply(window: int):
     def of(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        total = sum(replies.column("n").to_pylist())
+        total = docs.column("n_entries")[0].as_py() if docs.num_rows else 0
+        if total != sum(replies.column("n").to_pylist()):
+            raise RuntimeError("the two passes disagree on a block: the input changed between them")
         first = np.zeros(total, bool)
         for base, n, bits in zip(replies.column("base").to_pylist(), replies.column("n").to_pylist(), replies.column("bits"), strict=True):
             first[base : base + n] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=n)
-        texts = docs.column("text").combine_chunks()
-        removed, sha = [], []
-        for c in chunks(texts):
+        removed, sha = [0] * docs.num_rows, docs.column("sha").to_pylist()
+        starts, entries = docs.column("starts"), docs.column("entries")
+        for c in chunks(docs.column("text")):
             for r in range(c.rows):
-                at = np.frombuffer(docs.column("starts")[c.first + r].as_buffer(), np.int32)
-                coded = np.frombuffer(docs.column("entries")[c.first + r].as_buffer(), np.int64)
-                again = ~((coded >> 40 == 1) & first[coded & ((1 << 40) - 1)])
+                i = c.first + r
+                if sha[i] is not None:
+                    continue
+                at, coded = np.frombuffer(starts[i].as_buffer(), np.int32), np.frombuffer(entries[i].as_buffer(), np.uint32)
+                again = at[~((coded >> np.uint32(31) == 1) & first[coded & np.uint32(0x7FFFFFFF)])]
                 n = int(c.word_at[r + 1] - c.word_at[r])
-                depth = np.zeros(n + 1, np.int32)
-                depth[at[again]] += 1
-                np.subtract.at(depth, at[again] + window, 1)
+                depth = np.bincount(again, minlength=n + 1)[: n + 1] - np.bincount(again + window, minlength=n + 1)[: n + 1]
                 drop = np.cumsum(depth[:-1]) > 0
-                removed.append(int(drop.sum()))
-                sha.append(_sha(_kept(c, r, drop)))
-        return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "n_words": docs.column("n_words").cast(pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+                removed[i] = int(drop.sum())
+                sha[i] = _sha(_kept(c, r, drop))
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": docs.column("n_words"), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     return of
 
@@ -198,15 +206,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFra
     """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     spark = docs.sparkSession
     gram = min(gram, window)
-    work = Workspace(spark, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = sketch.mark_repeated(docs.select("text"), _minimizers(window, gram), [2], 2, [FOLD])
     sent = spark.sparkContext.broadcast(marks)
-    table = work.stash(docs.mapInArrow(_entries(sent, window, gram), _BLOCK), "blocks")
-    sent.unpersist()
-    asked = table.filter("part >= 0").select("part", "block", "doc_id", "asked")
-    replies = asked.groupBy("part").applyInArrow(_answer, "block long, base long, n int, bits binary")
-    touched = table.filter("part = -2").select("block", "doc_id", "n_words", "text", "starts", "entries")
-    judged = touched.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    clean = table.filter("part = -1").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    return clean.unionByName(judged)
+    asked = docs.mapInArrow(_ask(sent, window, gram), _ASKED)
+    replies = asked.groupBy("part").applyInArrow(_answer, "block long, base int, n int, bits binary")
+    rows = docs.mapInArrow(_documents(sent, window, gram), _DOCS)
+    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
