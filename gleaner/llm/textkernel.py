@@ -93,6 +93,22 @@ class Chunk:
         return np.repeat(self.word_at[1:], np.diff(self.word_at))
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def bare_words(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words without ASCII marks at their ends, and whether anything is left of each."""
+    n = len(c.data)
+    place = np.arange(n)
+    mark = _MARK[c.data]
+    last = np.maximum.accumulate(np.where(mark, -1, place)) if n else place
+    first = np.minimum.accumulate(np.where(mark, n, place)[::-1])[::-1] if n else place
+    starts = np.minimum(first[c.starts], c.ends)
+    ends = np.maximum(last[c.ends - 1] + 1, starts)
+    return starts, ends, ends > starts
+
+
 def rolling(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of k neighbouring word hashes, row borders ignored: len(words) - k + 1 of them."""
     n = len(words)

@@ -19,23 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.textkernel import Chunk, chunks
+from gleaner.llm.textkernel import Chunk, bare_words, chunks
 
 DIM_BITS = 20
 HEADS = (4, 6)
-_MARK = np.zeros(256, bool)
-_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def feature_ids(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of every word and head of a lower-cased chunk, with repeats."""
-    starts, ends = c.starts.copy(), c.ends.copy()
     row = np.repeat(np.arange(c.rows), np.diff(c.word_at))
-    for _ in range(4):
-        ends -= (ends > starts) & _MARK[c.data[np.maximum(ends - 1, 0)]] if len(ends) else 0
-    if len(starts):
-        starts += (ends > starts) & _MARK[c.data[starts]]
-    full = ends > starts
+    starts, ends, full = bare_words(c)
     starts, ends, row = starts[full], ends[full], row[full]
     ids, rows = [c.span_hash(starts, ends)], [row]
     for n in HEADS:
