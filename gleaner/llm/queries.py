@@ -11,6 +11,7 @@ from gleaner.llm.jaccard_join import jaccard_classes
 from gleaner.llm.kneser_ney import perplexities
 from gleaner.llm.line_dedup import line_report
 from gleaner.llm.media import text_media
+from gleaner.llm.mixing import label_domains, mixture
 from gleaner.llm.substring_dedup import substring_dedup
 from gleaner.llm.toxicity import severities
 from gleaner.llm.url_filter import filter_urls
@@ -64,6 +65,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
+    mixed = mixture(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), targets)
+    return mixed.select("doc_id", "n_tokens", *(mixed.p[i].alias(f"p_{name}") for i, name in enumerate(targets)), "rate")
+
+
 @_query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
