@@ -264,4 +264,4 @@ def leaks(docs: DataFrame, items: DataFrame, question: str = "text", answer: str
 def drop_leaking(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that leak no test item, all columns as they are."""
     bad = leaks(docs, items, **settings).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")

@@ -100,7 +100,7 @@ def _drops(docs: DataFrame, work: Workspace, min_docs: int, min_chars: int, batc
 
 def _kept(text: str, drop) -> tuple[int, int, str]:
     lines = text.split("\n")
-    gone = set(drop or ())
+    gone = set() if drop is None else set(drop)
     kept = [x for i, x in enumerate(lines) if i not in gone] if gone else lines
     return len(lines), len(gone), "\n".join(kept)
 
@@ -117,7 +117,7 @@ def line_report(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
                 b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()),
                 pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in found], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    joined = docs.join(_drops(docs, work, min_docs, min_chars, batches, fanout).hint("merge"), "doc_id", "left")
+    joined = docs.join(_drops(docs, work, min_docs, min_chars, batches, fanout), "doc_id", "left")
     return joined.select("doc_id", "text", "drop").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
     """The rows of ``docs`` with ``text`` rewritten; all other columns as they are."""
     work = Workspace(docs.sparkSession, "line-dedup")
     drops = _drops(docs.select(F.col("doc_id").cast("long"), "text"), work, min_docs, min_chars, batches, fanout)
-    drops = drops.select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop")).hint("merge")
+    drops = drops.select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop"))
 
     @F.pandas_udf("string")
     def rewrite(text, drop):
