@@ -6,10 +6,11 @@ sets share gives exact results; this one puts frequent n-grams last. From it fol
 
 * A set of which too few n-grams may occur elsewhere has no link. It is set aside at once.
 * Equal sets are one class; one representative of each goes on.
-* Two linked sets share an n-gram of their prefixes (the first n - ceil(t n) + 1). Representatives that share a prefix
-  n-gram are tied to the smallest of its holders, one row a holder; the components of these ties hold every link.
-* Each component is cut into blocks of at most ``BLOCK`` sets, and each pair of blocks is joined in one task by a
-  trie: sets are stored as paths in an order by frequency within the task, so that near copies share long
+* Two linked sets share an n-gram of their prefixes (the first n - ceil(t n) + 1), and their sizes differ by one band
+  at most. Representatives that share a prefix n-gram and a band are tied to the smallest of its holders, one row a
+  holder; the components of these ties hold every link.
+* Each band of a component is cut into blocks of about ``BLOCK`` sets, and each pair of blocks is joined in one task by
+  a trie: sets are stored as paths in an order by frequency within the task, so that near copies share long
   stretches; a probe walks the trie with the overlap so far and leaves a subtree when even its whole remaining length
   can't reach the threshold, or when all sets below are already in the probe's class. So a task returns links that
   span its classes, not all pairs.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import sketch
@@ -34,7 +35,7 @@ from gleaner.operators.skew import join_counted
 from gleaner.workspace import Workspace
 
 #: Sketch counts at which an n-gram reaches the next level of the order, and the log2 bits of each level's bitmap.
-LEVELS, FOLDS = [2, 16, 128, 1024], [28, 24, 24, 24]
+LEVELS, FOLDS = [2, 3, 6, 16, 128, 1024], [28, 26, 25, 24, 24, 24]
 BLOCK = 512
 
 
@@ -63,6 +64,12 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def size_bands(size: Column, percent: int) -> Column:
+    """Two bands of a set's size, on a scale whose steps are the ratio 100 / percent: linked sets share one."""
+    band = F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) * (1 - 1e-9)).cast("int") if percent < 100 else size.cast("int")
+    return F.array(band, band + 1)
+
+
 def _sets(sent, n: int, percent: int):
     names = ["doc_id", "n_shingles", "k1", "k2", "tokens", "prefix"]
 
@@ -235,18 +242,20 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     kept = sets.filter("k1 is not null and doc_id is not null")
     reps = work.stash(kept.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
     one = kept.join(reps.select("k1", "k2", "rep"), (kept.doc_id == F.col("rep")) & (kept.k1 == reps.k1) & (kept.k2 == reps.k2), "inner")
-    one = work.stash(one.select("rep", kept.k1, kept.k2, "tokens", "prefix").dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "one")
-    posted = one.select("rep", F.explode("prefix").alias("gram"))
-    held = work.stash(posted.groupBy("gram").agg(F.count("*").alias("holders"), F.min("rep").alias("hub")).filter("holders > 1"), "held")
-    ties = join_counted(posted, held, ["gram"], "holders", F.col("rep")).filter("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst"))
+    one = one.select("rep", kept.k1, kept.k2, "tokens", "prefix", size_bands(F.col("n_shingles"), percent).alias("bands"))
+    one = work.stash(one.dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "one")
+    posted = one.select("rep", F.explode("bands").alias("band"), "prefix").select("rep", "band", F.explode("prefix").alias("gram"))
+    held = work.stash(posted.groupBy("gram", "band").agg(F.count("*").alias("holders"), F.min("rep").alias("hub")).filter("holders > 1"), "held")
+    ties = join_counted(posted, held, ["gram", "band"], "holders", F.col("rep")).filter("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst"))
     near = work.stash(connected_components(ties), "near")
-    total = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members"))
-    total = work.stash(total, "total")
-    cut = join_counted(near, total, ["component"], "members", F.col("node"))
-    cut = cut.select(F.col("node").alias("rep"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    dealt = cut.join(one.select("rep", "tokens"), "rep").select("rep", "component", "block", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("rep", "component", "block", "tokens", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    links = dealt.groupBy("component", "bi", "bj").applyInArrow(_join_blocks(percent), "src long, dst long")
+    placed = work.stash(one.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "component", F.explode("bands").alias("band")), "placed")
+    total = placed.groupBy("component", "band").agg(F.count("*").alias("members")).filter("members > 1")
+    total = work.stash(total.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "total")
+    cut = join_counted(placed, total, ["component", "band"], "members", F.col("rep"))
+    cut = cut.select("rep", "component", "band", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    dealt = cut.join(one.select("rep", "tokens"), "rep").select("rep", "component", "band", "block", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("rep", "component", "band", "block", "tokens", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    links = dealt.groupBy("component", "band", "bi", "bj").applyInArrow(_join_blocks(percent), "src long, dst long")
     classes = connected_components(work.stash(links, "links"))
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id"))
     named = work.stash(named, "named")
