@@ -24,3 +24,11 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    """The modules that register queries."""
+    from gleaner.plans import audit, evaluation  # noqa: F401
+
+
+_load()
