@@ -17,7 +17,7 @@ from gleaner.llm.jaccard_join import jaccard_classes
 from gleaner.llm.kneser_ney import keep_good
 from gleaner.llm.line_dedup import dedup_lines
 from gleaner.llm.mixing import label_domains, mix_documents
-from gleaner.workspace import Workspace
+from gleaner.workspace import Workspace, fresh_name
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard_classes(docs, n=5, percent=80).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh_name("_gone", docs.columns)
+    gone = jaccard_classes(docs, n=5, percent=80).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

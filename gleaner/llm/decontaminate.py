@@ -3,7 +3,8 @@
 The test items are the indexed documents, with word pairs as terms, and the passages of the training texts are the
 queries: windows of
 2 * STRIDE words every STRIDE words, so that any stretch of up to STRIDE words lies whole in one window. BM25 impacts
-are divided by the item's score for its own text, so one threshold holds for all items. For each window:
+are divided by the item's score for its own text, so one threshold holds for all items; long items are indexed in
+pieces that a window can hold, and any piece retrieves its item. For each window:
 
 1. Upper bound without the index: terms whose greatest impacts together stay below half the threshold (the frequent
    ones) are non-essential; a window whose essential terms can't reach the rest has no item. This is one prefix sum.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.textkernel import Chunk, bare_words, chunks, rolling
+from gleaner.workspace import fresh_name
 
 STRIDE, BLOCK_ITEMS, SUPER, GROUP = 64, 16, 64, 20_000
 #: Index terms are runs of so many words: with single words, most windows could hold half of some item's score.
@@ -184,7 +186,14 @@ class Matcher:
                 self.ids.append(item_id)
                 self.parts.append((q, a))
         self.question_overlap, self.answer_overlap, self.min_words = question_overlap, answer_overlap, min_words
-        self.index = Index([rolling(np.concatenate(p), TERM) for p in self.parts], threshold)
+        # an item that is longer than a window can hold is indexed in pieces of about STRIDE words
+        pieces, self.owner = [], []
+        for i, p in enumerate(self.parts):
+            whole = np.concatenate(p)
+            for piece in np.array_split(whole, max(1, round(len(whole) / STRIDE))):
+                pieces.append(rolling(piece, TERM))
+                self.owner.append(i)
+        self.index = Index(pieces, threshold)
 
     @staticmethod
     def _words(text: str) -> np.ndarray:
@@ -221,7 +230,8 @@ class Matcher:
             part = part[part >= 0]
             if not self.index.hopeful(part):
                 continue
-            for item, score in self.index.search(part.tolist()):
+            for piece, score in self.index.search(part.tolist()):
+                item = self.owner[piece]
                 # an item longer than the stride may reach beyond the window
                 more = max(0, sum(len(x) for x in self.parts[item]) - STRIDE)
                 found = self.verify(item, words[max(int(at[r]), a - more) : min(int(at[r + 1]), b + more)])
@@ -263,5 +273,6 @@ def leaks(docs: DataFrame, items: DataFrame, question: str = "text", answer: str
 
 def drop_leaking(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that leak no test item, all columns as they are."""
-    bad = leaks(docs, items, **settings).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    name = fresh_name("_bad", docs.columns)
+    bad = leaks(docs, items, **settings).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")

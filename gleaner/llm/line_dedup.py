@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.skew import join_counted
-from gleaner.workspace import Workspace, shuffle_width
+from gleaner.workspace import Workspace, fresh_name, shuffle_width
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,12 +125,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
     """The rows of ``docs`` with ``text`` rewritten; all other columns as they are."""
     work = Workspace(docs.sparkSession, "line-dedup")
     drops = _drops(docs.select(F.col("doc_id").cast("long"), "text"), work, min_docs, min_chars, batches, fanout)
-    drops = drops.select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop"))
+    doc, drop = fresh_name("_doc", docs.columns), fresh_name("_drop", docs.columns)
+    drops = drops.select(F.col("doc_id").alias(doc), F.col("drop").alias(drop))
 
     @F.pandas_udf("string")
-    def rewrite(text, drop):
-        return text.combine(drop, lambda t, d: _kept(t, d)[2] if d is not None else t)
+    def rewrite(text, gone):
+        return text.combine(gone, lambda t, d: _kept(t, d)[2] if d is not None else t)
 
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rewrite("text", "_drop"))
+    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(doc), "left")
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(rewrite("text", drop))
     return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.textkernel import Chunk, chunks
-from gleaner.workspace import Workspace
+from gleaner.workspace import Workspace, fresh_name
 
 DIM_BITS = 20
 HEADS, TAIL = (4, 6), 2
@@ -204,13 +204,13 @@ def copies(doc_id: Column, rate: Column) -> Column:
 def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **settings) -> DataFrame:
     """``docs`` with rate and copies (how often a document is taken); documents taken not once are left out.
 
-    Rows with equal doc_id get the rate of one of them.
+    Rows with equal doc_id get the rate of one of them; columns of ``docs`` named rate or copies are replaced.
     """
-    rates = mixture(docs, labelled, targets, **settings).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("rate").alias("rate"))
-    taken = rates.withColumn("copies", copies(F.col("_doc"), F.col("rate")))
-    clash = [c for c in docs.columns if c not in ("rate", "copies", "_doc")]
-    joined = docs.select(*clash).join(taken, F.col("doc_id").cast("long") == F.col("_doc"))
-    return joined.filter("copies > 0").drop("_doc")
+    doc = fresh_name("_doc", docs.columns)
+    rates = mixture(docs, labelled, targets, **settings).groupBy(F.col("doc_id").alias(doc)).agg(F.max("rate").alias("rate"))
+    taken = rates.withColumn("copies", copies(F.col(doc), F.col("rate")))
+    rest = docs.select(*(c for c in docs.columns if c.lower() not in ("rate", "copies")))
+    return rest.join(taken, F.col("doc_id").cast("long") == F.col(doc)).filter("copies > 0").drop(doc)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
