@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def from_lists(lists: DataFrame, names: list[str]) -> DataFrame:
+    """Metric lists of one length, a row a run, to a row an epoch numbered from 1."""
+    x = lists.select("run", F.posexplode(F.arrays_zip(*names)).alias("at", "x"))
+    return x.select("run", (F.col("at") + 1).alias("epoch"), *(F.col(f"x.{n}").alias(n) for n in names))
+
+
 def best_epoch(h: DataFrame) -> DataFrame:
     """The first epoch with the smallest value."""
     return h.groupBy("run").agg(F.min_by("epoch", F.struct("value", "epoch")).alias("best_epoch"), F.min("value").alias("best_value"), F.max("epoch").alias("epochs"))

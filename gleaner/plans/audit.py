@@ -332,3 +332,30 @@ def content_hash(spark, sf):
 def label_coverage(spark, sf):
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", F.lit(1).alias("has"))
     return d.join(lab, "doc_id", "left").groupBy(F.col("lang").alias("class")).agg(F.count("*").alias("n"), F.count("has").alias("labelled"), (F.count("*") - F.count("has")).alias("unlabelled"))
+
+
+@query("audit_structure_anomalies", f"""WITH {t.FILES}, p AS (SELECT CASE source WHEN 'src1' THEN split || '/' || class || '/extra/' || doc_id WHEN 'src2' THEN split || '/' || doc_id WHEN 'src3' THEN CAST(doc_id AS VARCHAR) ELSE split || '/' || class || '/' || doc_id END AS rel FROM files),
+q AS (SELECT rel, len(string_split(rel, '/')) AS depth, CASE WHEN len(string_split(rel, '/')) > 1 THEN split_part(rel, '/', 1) END AS split, CASE WHEN len(string_split(rel, '/')) > 2 THEN split_part(rel, '/', 2) END AS class FROM p),
+s(split) AS (VALUES ('Training'), ('Testing'), ('Validation')), c(class) AS (VALUES ('en'), ('fr'), ('de'), ('it')), known AS (SELECT DISTINCT split FROM q JOIN s USING (split)),
+have AS (SELECT DISTINCT split, class FROM q JOIN known USING (split) WHERE class IS NOT NULL), want AS (SELECT * FROM known, c)
+SELECT 'missing_split' AS kind, split AS name, 1::BIGINT AS n FROM s WHERE split NOT IN (SELECT split FROM known)
+UNION ALL SELECT 'missing_class', split || '/' || class, 1 FROM (FROM want EXCEPT FROM have) UNION ALL SELECT 'unexpected_class', split || '/' || class, 1 FROM (FROM have EXCEPT FROM want)
+UNION ALL SELECT 'root_file', rel, 1 FROM q WHERE depth = 1 UNION ALL SELECT 'file_in_split', rel, 1 FROM q JOIN known USING (split) WHERE depth = 2
+UNION ALL SELECT 'nested_directory', array_to_string(string_split(rel, '/')[1:3], '/'), count(*) FROM q JOIN known USING (split) WHERE depth > 3 GROUP BY 2""")
+def audit_structure_anomalies(spark, sf):
+    """Paths as a tree lists them; some sources are nested, loose or at the root."""
+    from gleaner.sources.filetree import path_columns, structure_anomalies
+
+    place = F.col("doc_id").cast("string")
+    src = F.col("source")
+    rel = F.when(src == "src1", F.concat_ws("/", "split", "class", F.lit("extra"), place)).when(src == "src2", F.concat_ws("/", "split", place)).when(src == "src3", place).otherwise(F.concat_ws("/", "split", "class", place))
+    paths = path_columns(t.files(spark, sf).select(rel.alias("relative_path")))
+    return structure_anomalies(paths, ["Training", "Testing", "Validation"], ["en", "fr", "de", "it"])
+
+
+@query("history_rows", "SELECT user_id AS run, CAST(u AS INT) AS epoch, losses[u] AS val_loss, kinds[u] AS kind FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS losses, list(event_type ORDER BY ts, event_id) AS kinds FROM events GROUP BY user_id), unnest(range(1, len(losses) + 1)) x(u)")
+def history_rows(spark, sf):
+    """Column lists by epoch, as a trainer keeps them, to one row an epoch."""
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", "event_type")))
+    lists = table(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg(ordered.alias("h")).select("run", F.col("h.value").alias("val_loss"), F.col("h.event_type").alias("kind"))
+    return history.from_lists(lists, ["val_loss", "kind"])

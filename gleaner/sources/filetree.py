@@ -26,8 +26,13 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     top = root.rstrip("/").rsplit("/", 1)[-1]
     rel = F.regexp_extract("path", f"/{top}/(.*)$", 1)
+    return path_columns(raw.select("path", rel.alias("relative_path"), F.col("length").alias("file_size_bytes")))
+
+
+def path_columns(files: DataFrame) -> DataFrame:
+    """Adds depth, split, class and extension of ``relative_path``."""
     parts = F.split("relative_path", "/")
-    return raw.select("path", rel.alias("relative_path"), F.col("length").alias("file_size_bytes")).withColumns({
+    return files.withColumns({
         "depth": F.size(parts), "split": F.when(F.size(parts) > 1, F.get(parts, F.lit(0))), "class": F.when(F.size(parts) > 2, F.get(parts, F.lit(1))),
         "extension": extension(F.col("relative_path"))})
 
