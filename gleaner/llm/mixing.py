@@ -210,7 +210,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     rates = mixture(docs, labelled, targets, **settings).groupBy(F.col("doc_id").alias(doc)).agg(F.max("rate").alias("rate"))
     taken = rates.withColumn("copies", copies(F.col(doc), F.col("rate")))
     rest = docs.select(*(c for c in docs.columns if c.lower() not in ("rate", "copies")))
-    return rest.join(taken, F.col("doc_id").cast("long") == F.col(doc)).filter("copies > 0").drop(doc)
+    return rest.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(doc))).filter("copies > 0").drop(doc)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

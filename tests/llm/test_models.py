@@ -210,6 +210,23 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_rows_without_an_id(spark, corpus):
+    """A NULL doc_id loses no row and harms no other."""
+    from gleaner.llm.jaccard_join import jaccard_classes
+    from gleaner.llm.line_dedup import dedup_lines, line_report
+    from gleaner.llm.substring_dedup import substring_dedup
+
+    docs, labels, rows = corpus
+    more = docs.filter("doc_id < 60").unionByName(docs.limit(0)).unionByName(spark.createDataFrame([(None, "the stone over the river", None, None, None, None)] * 2, DOCS))
+    n = more.count()
+    targets = {"clean": 0.9, "junk": 0.05, "toxic": 0.05}
+    for out in (line_report(more), dedup_lines(more), jaccard_classes(more), substring_dedup(more), media.text_media(more), kneser_ney.perplexities(more, labels), toxicity.severities(more, labels), mixing.mixture(more, mixing.label_domains(labels), targets)):
+        assert out.count() == n and out.filter("doc_id is null").count() == 2
+    assert mixing.mix_documents(more, mixing.label_domains(labels), targets).filter("doc_id is null").count() == 2
+    bench = spark.createDataFrame([(1, "the stone over the river")], "item_id long, text string")
+    assert decontaminate.leaks(more, bench).filter("doc_id is null").count() == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
