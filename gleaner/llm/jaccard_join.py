@@ -238,7 +238,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     sent = spark.sparkContext.broadcast(sketch.mark_repeated(docs.select("text"), keys, LEVELS, 1, FOLDS))
     sets = work.stash(docs.mapInArrow(_sets(sent, n, percent), "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, prefix array<long>"), "sets")
-    sent.unpersist()
+    sent.destroy()
     kept = sets.filter("k1 is not null and doc_id is not null")
     reps = work.stash(kept.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
     one = kept.join(reps.select("k1", "k2", "rep"), (kept.doc_id == F.col("rep")) & (kept.k1 == reps.k1) & (kept.k2 == reps.k2), "inner")

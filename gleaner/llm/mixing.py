@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.sparse import largest_eigenvalue, screened
 from gleaner.llm.textkernel import Chunk, chunks
+from gleaner.operators.sampling import hash_sample
 from gleaner.workspace import Workspace, fresh_name
 
 DIM_BITS = 20
@@ -61,35 +63,18 @@ class Softmax:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def fit_softmax(indptr: np.ndarray, ids: np.ndarray, domain: np.ndarray, k: int, l1: float = 3e-4, screen: int = 4096, min_docs: int = 4, steps: int = 800) -> Softmax:
+def fit_softmax(docs: list[np.ndarray], domain: np.ndarray, k: int, l1: float = 3e-4, screen: int = 4096, min_docs: int = 4, steps: int = 800) -> Softmax:
     n, dim = len(domain), 1 << DIM_BITS
     weight = np.zeros((dim, k), np.float32)
     if not n:
         return Softmax(np.zeros(k), weight)
     share = np.bincount(domain, minlength=k) / n
     bias = np.log(share + 0.5 / n)
-    row = np.repeat(np.arange(n), np.diff(indptr))
-    total = np.bincount(ids, minlength=dim)
-    chi = np.zeros(dim)
-    for j in range(k):
-        if 0 < share[j] < 1:
-            hit = np.bincount(ids, domain[row] == j, dim)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                chi = np.maximum(chi, np.where(total >= min_docs, (hit - total * share[j]) ** 2 / (total * share[j] * (1 - share[j])), 0))
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:screen])
-    chosen = chosen[chi[chosen] > 0]
+    chosen, row, col = screened(docs, domain[:, None] == np.arange(k), dim, screen, min_docs)
     if not len(chosen):
         return Softmax(bias, weight)
-    place = np.full(dim, -1)
-    place[chosen] = np.arange(len(chosen))
-    col = place[ids]
-    row, col = row[col >= 0], col[col >= 0]
     m = len(chosen)
-    v = np.ones(m)
-    for _ in range(12):
-        v = np.bincount(col, np.bincount(row, v[col], n)[row], m)
-        v /= np.linalg.norm(v) or 1
-    step = 1 / max(0.5 * np.linalg.norm(np.bincount(col, np.bincount(row, v[col], n)[row], m)) / n, 1e-9)
+    step = 1 / max(0.5 * largest_eigenvalue(row, col, n, m), 1e-9)
     w, z, t = np.zeros((m, k)), np.zeros((m, k)), 1.0
     one = np.eye(k)[domain]
     for _ in range(steps):
@@ -108,7 +93,7 @@ def fit_softmax(indptr: np.ndarray, ids: np.ndarray, domain: np.ndarray, k: int,
 def train(docs: DataFrame, labelled: DataFrame, names: list[str], max_labelled: int, **settings) -> Softmax:
     """``labelled``: doc_id, domain (one of ``names``)."""
     known = labelled.filter(F.col("domain").isin(names) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long")).agg(F.min("domain").alias("domain"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    some = hash_sample(known, ["doc_id"], max_labelled)
     rows = docs.filter("doc_id is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "domain")
 
     def features(batches):
@@ -120,9 +105,7 @@ def train(docs: DataFrame, labelled: DataFrame, names: list[str], max_labelled:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(c.first, c.rows), b.column("domain").slice(c.first, c.rows), pa.array([x.tobytes() for x in part], pa.binary())], ["doc_id", "domain", "ids"])
 
     found = sorted(rows.mapInArrow(features, "doc_id long, domain string, ids binary").collect(), key=lambda r: r.doc_id)
-    ids = [np.frombuffer(r.ids, np.int32) for r in found]
-    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    return fit_softmax(np.cumsum([0, *(len(x) for x in ids)]), flat, np.array([names.index(r.domain) for r in found], np.int64), len(names), **settings)
+    return fit_softmax([np.frombuffer(r.ids, np.int32) for r in found], np.array([names.index(r.domain) for r in found], np.int64), len(names), **settings)
 
 
 def replay(p: np.ndarray, errors: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +170,7 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max
                     pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k), pa.int32()), pa.array(p.ravel()))], ["doc_id", "n_tokens", "p"])
 
     soft = work.stash(docs.mapInArrow(posteriors, "doc_id long, n_tokens long, p array<double>"), "posteriors")
+    sent.destroy()
     errors = fit_rates(soft, target, tolerance, max_steps)
 
     def rated(batches):

@@ -26,18 +26,34 @@ def cells(keys: np.ndarray, row: int) -> np.ndarray:
 
 
 class Marks:
-    """What the driver broadcasts: a bitmap for each sketch row and threshold."""
+    """What the driver broadcasts: a bitmap for each sketch row and threshold, in zlib-packed pieces until it is used."""
 
-    def __init__(self, thresholds: list[int], rows: int, folds: list[int]):
-        self.thresholds, self.rows, self.folds = thresholds, rows, folds
-        self.maps = [[np.zeros(1 << (f - 3), np.uint8) for _ in range(rows)] for f in folds]
+    def __init__(self, thresholds: list[int], rows: int, folds: list[int], pieces: dict[tuple[int, int, int], bytes]):
+        """``pieces``: (threshold's place, row, range) to packed bits; ranges without marks are left out."""
+        self.thresholds, self.rows, self.folds, self.pieces = thresholds, rows, folds, pieces
+        self._maps: dict[tuple[int, int], np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.thresholds, self.rows, self.folds, self.pieces
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _map(self, at: int, row: int) -> np.ndarray:
+        if (at, row) not in self._maps:
+            bits = self._maps[at, row] = np.zeros(1 << (self.folds[at] - 3), np.uint8)
+            for (a, r, b), packed in self.pieces.items():
+                if (a, r) == (at, row):
+                    piece = np.frombuffer(zlib.decompress(packed), np.uint8)
+                    bits[b * len(piece) : (b + 1) * len(piece)] |= piece
+        return self._maps[at, row]
 
     def reach(self, keys: np.ndarray, at: int = 0) -> np.ndarray:
         """Which keys may have a count of at least thresholds[at]."""
         out = None
         for row in range(self.rows):
             c = cells(keys, row) >> np.uint32(CELL_BITS - self.folds[at])
-            hit = (self.maps[at][row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & np.uint8(1)
+            hit = (self._map(at, row)[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & np.uint8(1)
             out = hit if out is None else out & hit
         return out.astype(bool)
 
@@ -120,9 +136,8 @@ def mark_repeated(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
     width = min(rows * ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = df.mapInArrow(local, "part int, cells binary, counts binary")
     merged = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, at int, bits binary")
-    marks = Marks(thresholds, rows, folds)
-    for x in merged.collect():  # compressed bitmaps of a fixed total size
+    pieces = {}
+    for x in merged.collect():  # packed bitmaps of a fixed total size
         row, b = divmod(x["part"], ranges)
-        bits = np.frombuffer(zlib.decompress(x["bits"]), np.uint8)
-        marks.maps[x["at"]][row][b * len(bits) : (b + 1) * len(bits)] |= bits
-    return marks
+        pieces[x["at"], row, b] = bytes(x["bits"])
+    return Marks(thresholds, rows, folds, pieces)

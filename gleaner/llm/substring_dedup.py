@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import sketch
 from gleaner.llm.textkernel import Chunk, chunks, rolling
+from gleaner.workspace import shuffle_width
 
-#: Hash ranges that windows are dealt to; a power of two.
+#: The least number of hash ranges that windows are dealt to; a power of two. There are at least twice as many as
+#: shuffle partitions, so that a range stays small where the session's setting follows the input.
 RANGES = 64
 #: log2 of the bits of a merged bitmap: 32 MiB a sketch row.
 FOLD = 28
@@ -99,9 +101,9 @@ class _Windows:
         self.first_here[self.head] = True
         self.h1, self.h2, self.doc = h1[self.head], h2[self.head], doc[self.row[self.head]]
 
-    def asked(self) -> list[tuple[int, int, bytes]]:
+    def asked(self, ranges: int) -> list[tuple[int, int, bytes]]:
         """(range, index of its first entry, entries) of each range that has any."""
-        cut = np.searchsorted(self.h1, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1))
+        cut = np.searchsorted(self.h1, np.arange(1, ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length()))
         edge = [0, *cut.tolist(), len(self.h1)]
         at = self.at[self.head].astype(np.int32)
         return [(p, s, b"".join(x[s:e].tobytes() for x in (self.h1, self.doc, self.h2, at))) for p, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if s < e]
@@ -119,10 +121,10 @@ def _blocks(batches, marks, window, gram):
             serial += 1
 
 
-def _ask(sent, window: int, gram: int):
+def _ask(sent, window: int, gram: int, ranges: int):
     def of(batches):
         for block, _, _, w in _blocks(batches, sent.value, window, gram):
-            rows = w.asked()
+            rows = w.asked(ranges)
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
                 pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "block", "base", "asked"])
@@ -209,7 +211,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = sketch.mark_repeated(docs.select("text"), _minimizers(window, gram), [2], 2, [FOLD])
     sent = spark.sparkContext.broadcast(marks)
-    asked = docs.mapInArrow(_ask(sent, window, gram), _ASKED)
+    ranges = max(RANGES, 1 << (2 * shuffle_width(spark) - 1).bit_length())
+    asked = docs.mapInArrow(_ask(sent, window, gram, ranges), _ASKED)
     replies = asked.groupBy("part").applyInArrow(_answer, "block long, base int, n int, bits binary")
     rows = docs.mapInArrow(_documents(sent, window, gram), _DOCS)
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

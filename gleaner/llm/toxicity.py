@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.sparse import largest_eigenvalue, screened
 from gleaner.llm.textkernel import Chunk, bare_words, chunks
+from gleaner.operators.sampling import hash_sample
 
 DIM_BITS = 20
 HEADS = (4, 6)
@@ -47,25 +49,16 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - score[:, None], -40, 40)))
 
 
-def fit_ordinal(indptr: np.ndarray, ids: np.ndarray, grade: np.ndarray, grades: int, l1: float = 3e-4, screen: int = 4096, min_docs: int = 4, steps: int = 1500) -> OrdinalModel:
-    """``ids[indptr[i]:indptr[i + 1]]`` are the distinct features of row i."""
+def fit_ordinal(docs: list[np.ndarray], grade: np.ndarray, grades: int, l1: float = 3e-4, screen: int = 4096, min_docs: int = 4, steps: int = 1500) -> OrdinalModel:
+    """``docs``: the distinct features of each row."""
     n, dim = len(grade), 1 << DIM_BITS
     theta = np.array([np.log(((grade <= k).sum() + 0.5) / ((grade > k).sum() + 0.5)) for k in range(grades - 1)])
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(grades - 1))
     if n == 0 or len(np.unique(grade)) < 2:
         return OrdinalModel(np.full(grades - 1, 40.0), np.zeros(dim, np.float32))
-    row = np.repeat(np.arange(n), np.diff(indptr))
-    hit, total = np.bincount(ids, grade[row] > 0, dim), np.bincount(ids, minlength=dim)
-    share = (grade > 0).mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where(total >= min_docs, (hit - total * share) ** 2 / (total * share * (1 - share)), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:screen])
-    chosen = chosen[chi[chosen] > 0]
-    place = np.full(dim, -1)
-    place[chosen] = np.arange(len(chosen))
-    col = place[ids]
-    row, col = row[col >= 0], col[col >= 0]
+    chosen, row, col = screened(docs, (grade > 0)[:, None], dim, screen, min_docs)
     m = len(chosen)
+    step = 1 / max(0.25 * (grades - 1) * largest_eigenvalue(row, col, n, m), 1e-9)
     w, z, t = np.zeros(m), np.zeros(m), 1.0
     v = np.ones(m)
     for _ in range(12):  # the largest eigenvalue of X'X / n
@@ -98,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **settin
     """``docs``: doc_id, text; ``labels``: doc_id, toxic, quality."""
     graded = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long")).agg(
         F.max(F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)).alias("grade"))
-    some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    some = hash_sample(graded, ["doc_id"], max_labelled)
     rows = docs.filter("doc_id is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "grade")
 
     def features(batches):
@@ -111,10 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **settin
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(c.first, c.rows), b.column("grade").slice(c.first, c.rows), pa.array([x.tobytes() for x in part], pa.binary())], ["doc_id", "grade", "ids"])
 
     found = sorted(rows.mapInArrow(features, "doc_id long, grade int, ids binary").collect(), key=lambda r: r.doc_id)
-    ids = [np.frombuffer(r.ids, np.int32) for r in found]
-    indptr = np.cumsum([0, *(len(x) for x in ids)])
-    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    return fit_ordinal(indptr, flat, np.array([r.grade for r in found], np.int64), 3, **settings)
+    return fit_ordinal([np.frombuffer(r.ids, np.int32) for r in found], np.array([r.grade for r in found], np.int64), 3, **settings)
 
 
 def severities(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, cut: float = 0.4, **settings) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.sampling import hash_sample
 from gleaner.workspace import shuffle_width
 
 #: Below every character of a host label.
@@ -91,7 +92,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     spark = pages.sparkSession
     n = shuffle_width(spark)
     urls = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
-    some = urls.orderBy(F.xxhash64("page_id", "url")).limit(20 * n).collect()
+    some = hash_sample(urls, ["page_id", "url"], 20 * n).collect()
     keys = sorted((host_key(h) + END + p, r.page_id or 0) for r in some for h, p in [split_url(r.url)])
     borders = [keys[i * len(keys) // n] for i in range(1, n)] if keys else []
 

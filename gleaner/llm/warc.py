@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.sampling import hash_sample
 from gleaner.operators.skew import join_counted
 from gleaner.workspace import Workspace
 
@@ -171,8 +172,9 @@ def http_payload(fields: dict[str, str], block: bytes) -> tuple[int, bytes | Non
 
 
 def train_dictionary(pages: DataFrame, column: str = "html", sample: int = 200, size: int = 16 << 10) -> bytes:
-    """A dictionary from at most ``sample`` whole texts, chosen by hash; empty where they are too few to train on."""
-    rows = pages.filter(F.length(column) > 0).select(column).orderBy(F.xxhash64(column)).limit(sample).collect()
+    """A dictionary from at most ``sample`` whole texts of pages chosen by hash; empty where they are too few to train on."""
+    ids = hash_sample(pages.select("page_id").filter("page_id is not null"), ["page_id"], sample).distinct()
+    rows = pages.join(F.broadcast(ids), "page_id").filter(F.length(column) > 0).select(column).limit(sample).collect()
     try:
         return zstandard.train_dictionary(size, [r[0].encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):
