@@ -1,17 +1,23 @@
-"""Quality classifier: interpolated modified Kneser-Ney over trusted text, thresholded by language.
+"""Quality classifier: interpolated modified Kneser-Ney over trusted text, thresholded by language on held-out text.
+
+Two models of the trusted text judge a document: word pairs in hash-sharded tables that grow with the text
+(``word_model``), and symbols, which also spell the words that the tables lack. A document is kept where both
+perplexities (a symbol) are within their thresholds. One trusted document of HELD isn't counted by either; these tell
+the thresholds. Of the symbol model:
 
 Symbols are bytes folded into 32 classes (letters without case, one class for capitals, spaces, line ends, digits,
 bytes of other scripts, marks), and the model is of order 5, so all counts fit 32 shards of 32**4 cells whatever the
-corpus; the counts themselves come from every trusted document and their shuffle grows with the input.
+corpus; the counts themselves come from every trusted document that isn't held out and their shuffle grows with the input.
 
 1. Trusted documents (``labels.quality = 1``) are found by a join on doc_id behind a bitmap of fixed size, so that few
    other texts are shuffled. Tasks count 5-grams and send them by the shard of the oldest symbol.
 2. Sharded count joins: each shard sums its counts; the shards' presence maps are joined into continuation counts of
    the lower orders; each shard then joins its counts with the lower order's probabilities.
 3. Every document is scored in one pass over whole texts with the 32 shards of log-probabilities (32 MiB, to 1/12 bit,
-   broadcast packed).
-4. A language's threshold comes from a histogram of its trusted documents' perplexities: ``quantile`` and, from the
-   median, ``margin`` times the spread up to that quantile. Documents above it are rejected.
+   broadcast packed); the same pass sends its word n-grams to their tables.
+4. A language's threshold comes from a histogram of its held-out documents' perplexities: ``quantile`` and, from the
+   median, ``margin`` times the spread up to that quantile. Documents above it are rejected. A language with trusted
+   documents of which none is held out uses those that it has.
 
 A document's perplexity is shrunk to its language's median with the weight of ``prior`` symbols, because a few words
 say little. Defined results: NULL and empty texts have no symbols, perplexity NULL and are kept; a language without
@@ -32,23 +38,25 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import sketch
 from gleaner.llm.textkernel import SPACE, chunks, mix
+from gleaner.llm.word_model import fit_words, known_grams, word_costs
 from gleaner.operators.skew import join_counted
 from gleaner.workspace import Workspace, fresh_name, shuffle_width
 
 ORDER, BITS = 5, 5
 SYMBOLS = 1 << BITS
 SHARD = SYMBOLS ** (ORDER - 1)
-LINE_END = 28
+SPACE_CLASS, LINE_END = 27, 28
 
 CLASS = np.full(256, 31, np.uint8)
 CLASS[ord("a") : ord("z") + 1] = np.arange(26)
 CLASS[ord("A") : ord("Z") + 1] = 26
-CLASS[SPACE] = 27
+CLASS[SPACE] = SPACE_CLASS
 CLASS[[10, 13]] = LINE_END
 CLASS[ord("0") : ord("9") + 1] = 29
 CLASS[128:] = 30
 UNIT = 12  # steps of a bit in which log-probabilities are stored
 FLUSH = 2_000_000  # distinct grams that a task holds
+HELD = 5  # one of so many trusted documents, by hash of doc_id, is not counted and tells the thresholds
 _BUCKETS = 2000  # histogram buckets a unit of log2 perplexity
 
 
@@ -246,55 +254,61 @@ def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.9, margin: float = 4.0, prior: float = 100.0) -> DataFrame:
-    """Per document: doc_id, lang, n_symbols, perplexity (shrunk), threshold, keep."""
+    """Per document: doc_id, lang, n_symbols, perplexity and threshold of the word model (both shrunk, a symbol), the
+    same of the symbol model, keep."""
+    from pyspark.sql import Window
+
     spark = docs.sparkSession
     work = Workspace(spark, "kneser-ney")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    likely = _likely(docs.select("doc_id", "text"), good)
-    model = fit(likely.join(good.hint("merge"), "doc_id", "left_semi").select("text"), work)
+    good = good.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD)) == 0)
+    trusted = work.stash(_likely(docs.select("doc_id", "text"), good).join(good.hint("merge"), "doc_id").select("text", "held"), "trusted")
+    train = trusted.filter("not held").select("text")
+    model = fit(train, work)
+    if model is None:  # too few trusted documents to hold some out
+        train = trusted.select("text")
+        model = fit(train, work)
     if model is None:
-        return docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
+        none = [F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold", "symbol_perplexity", "symbol_threshold")]
+        return docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), *none, F.lit(True).alias("keep"))
     sent = spark.sparkContext.broadcast(model)
-
-    def score(batches):
-        table = sent.value.cost
-        for b in batches:
-            n, bits = [], []
-            for _, key, at in gram_keys(b.column("text")):
-                total = np.zeros(len(key) + 1, np.int64)
-                np.cumsum(table[key], dtype=np.int64, out=total[1:])
-                n.append(np.diff(at))
-                bits.append((total[at[1:]] - total[at[:-1]]) / UNIT)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(bits), pa.float64())], ["doc_id", "lang", "n_symbols", "bits"])
-
-    scores = work.stash(docs.mapInArrow(score, "doc_id long, lang string, n_symbols long, bits double"), "scores")
+    tables = fit_words(train, sent, work, "trusted")
+    maybe = known_grams(tables)
+    scores = work.stash(word_costs(docs, sent, tables, maybe), "scores")
     sent.destroy()
-    raw = F.col("bits") / F.col("n_symbols")
-    known = scores.filter("n_symbols > 0").join(good.hint("merge"), "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("code"), F.floor(raw * _BUCKETS).cast("long").alias("b"))
-    hist = work.stash(known.groupBy("code", "b").count(), "histogram")
-
-    def marks(rows: DataFrame, keys: list[str], point: float, name: str) -> DataFrame:
-        """The histogram bucket at which the share ``point`` of a group is reached."""
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*keys).orderBy("b")
-        run = rows.withColumn("upto", F.sum("count").over(w)).withColumn("all", F.sum("count").over(Window.partitionBy(*keys)))
-        return run.filter(F.col("upto") >= point * F.col("all")).groupBy(*keys).agg((F.min("b") / F.lit(float(_BUCKETS))).alias(name))
-
-    whole = hist.groupBy("b").agg(F.sum("count").alias("count")).withColumn("one", F.lit(1))
-    both = [marks(whole, ["one"], p, f"all_{n}") for p, n in ((0.5, "mid"), (quantile, "high"))]
-    general = both[0].join(both[1], "one").drop("one")
-    g = general.first()
-    codes = scores.groupBy(F.coalesce("lang", F.lit("")).alias("code")).agg(F.count("*").alias("docs"))
-    cuts = codes.join(marks(hist, ["code"], 0.5, "mid").join(marks(hist, ["code"], quantile, "high"), "code"), "code", "left")
-    cuts = work.stash(cuts.select("code", "docs", F.coalesce("mid", F.lit(g.all_mid if g else None)).alias("mid"), F.coalesce("high", F.lit(g.all_high if g else None)).alias("high")), "cuts")
+    maybe.destroy()
+    work.discard("words")
+    code = F.coalesce("lang", F.lit("")).alias("code")
+    known = scores.filter("n_symbols > 0").join(good.hint("merge"), "doc_id").select(code, "held", F.explode(F.create_map(F.lit("symbol"), F.col("bits"), F.lit("word"), F.col("word_bits"))).alias("model", "cost"), "n_symbols")
+    hist = work.stash(known.groupBy("model", "code", "held", F.floor(F.col("cost") / F.col("n_symbols") * _BUCKETS).cast("long").alias("b")).count(), "histogram")
+
+    def marks(keys: list[str], prefix: str) -> DataFrame:
+        """The buckets at which half and ``quantile`` of a group's held-out documents (without any: of its trusted ones) are reached."""
+        group = Window.partitionBy(*keys)
+        rows = hist.withColumn("any", F.max("held").over(group)).filter("held = any").groupBy(*keys, "b").agg(F.sum("count").alias("count"))
+        run = rows.withColumn("upto", F.sum("count").over(group.orderBy("b"))).withColumn("all", F.sum("count").over(group))
+        reached = lambda point: F.min(F.when(F.col("upto") >= point * F.col("all"), F.col("b"))) / F.lit(float(_BUCKETS))
+        return run.groupBy(*keys).agg(reached(0.5).alias(f"{prefix}mid"), reached(quantile).alias(f"{prefix}high"))
+
+    general = {r.model: r for r in marks(["model"], "").collect()}  # two rows
+    cuts = scores.groupBy(code).agg(F.count("*").alias("docs"))
+    own = marks(["model", "code"], "")
+    for m in ("word", "symbol"):
+        cuts = cuts.join(own.filter(F.col("model") == m).select("code", F.col("mid").alias(f"{m}_mid"), F.col("high").alias(f"{m}_high")), "code", "left")
+        g = general.get(m)
+        for c in ("mid", "high"):
+            cuts = cuts.withColumn(f"{m}_{c}", F.coalesce(f"{m}_{c}", F.lit(g[c] if g else None).cast("double")))
+    cuts = work.stash(cuts, "cuts")
     judged = join_counted(scores.withColumn("code", F.coalesce("lang", F.lit(""))), cuts, ["code"], "docs", F.struct("doc_id", "bits"), "left")
-    shrunk = (F.col("bits") + prior * F.col("mid")) / (F.col("n_symbols") + prior)
-    limit = F.col("mid") + margin * (F.col("high") - F.col("mid"))
-    return judged.select(
-        "doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), shrunk)).alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"),
-        (F.col("n_symbols").eqNullSafe(0) | F.coalesce(shrunk <= limit, F.lit(True))).alias("keep"))
+    out, fine = [], F.col("n_symbols").eqNullSafe(0)
+    within = F.lit(True)
+    for m, bits, name in (("word", "word_bits", ""), ("symbol", "bits", "symbol_")):
+        mid, high = F.col(f"{m}_mid"), F.col(f"{m}_high")
+        shrunk, limit = (F.col(bits) + prior * mid) / (F.col("n_symbols") + prior), mid + margin * (high - mid)
+        out += [F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), shrunk)).alias(f"{name}perplexity"), F.pow(F.lit(2.0), limit).alias(f"{name}threshold")]
+        within = within & F.coalesce(shrunk <= limit, F.lit(True))
+    return judged.select("doc_id", "lang", "n_symbols", *out, (fine | within).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
