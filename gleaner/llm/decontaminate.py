@@ -12,7 +12,8 @@ pieces that a window can hold, and any piece retrieves its item. For each window
    bounds stay below the threshold are skipped, and every item with at least the threshold is returned.
 3. Verification on the document's words: an item counts as leaked where at least ``question_overlap`` of the word
    trigrams of its question and ``answer_overlap`` of those of its answer occur in the window. An item without a
-   separate answer column is split at its last quarter of words.
+   separate answer column is split at its last quarter of words for the two figures; as that quarter is short and not a
+   known answer, such an item also counts where ``question_overlap`` of the trigrams of its whole text occur.
 
 Nothing caps the number of items or windows. Items are indexed in groups of at most ``GROUP`` items; each group is
 broadcast and the texts are scanned once a group, so the broadcast is bounded for a benchmark of any size. Defined results: NULL and wordless
@@ -174,7 +175,7 @@ def _share(part: np.ndarray, window: np.ndarray) -> float:
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str, str | None]], threshold: float, question_overlap: float, answer_overlap: float, min_words: int):
-        self.ids, self.parts = [], []
+        self.ids, self.parts, self.undivided = [], [], []
         for item_id, question, answer in items:
             q = self._words(question)
             if answer is None:
@@ -185,6 +186,7 @@ class Matcher:
             if len(q) + len(a) >= TERM:
                 self.ids.append(item_id)
                 self.parts.append((q, a))
+                self.undivided.append(answer is None)
         self.question_overlap, self.answer_overlap, self.min_words = question_overlap, answer_overlap, min_words
         # an item that is longer than a window can hold is indexed in pieces of about STRIDE words
         pieces, self.owner = [], []
@@ -208,7 +210,9 @@ class Matcher:
             hit = np.isin(rolling(whole, len(whole)), rolling(window, len(whole))).all() if len(window) >= len(whole) else False
             return (1.0, 1.0) if hit else None
         x, y = _share(q, window), _share(a, window)
-        return (x, y) if x >= self.question_overlap and y >= self.answer_overlap else None
+        if x >= self.question_overlap and y >= self.answer_overlap:
+            return x, y
+        return (x, y) if self.undivided[i] and _share(np.concatenate([q, a]), window) >= self.question_overlap else None
 
     def rows(self, c: Chunk):
         """(row, item_id, score, question overlap, answer overlap): for each row and item the best verified window."""
