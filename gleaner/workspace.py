@@ -4,38 +4,82 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is named."""
+    """The session's checkpoint folder. Only a local master may do without one: it then gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the queries run inside are removed as soon as each has ended."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+
+
 class Workspace:
     """One operator call's folder: ``stash`` writes a table and reads it back, ``discard`` drops one early.
 
-    Tables that the returned DataFrame still reads stay until the folder named in spark.checkpoint.dir is cleared.
+    ``broadcast`` values live until ``release``, which destroys them all. Tables that a returned DataFrame still reads
+    stay until ``close``, or until the folder named in spark.checkpoint.dir is cleared.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
+        self._sent: list = []
+
+    def stash(self, df: DataFrame, name: str, **measures):
+        """The table as written; with ``measures`` (name to aggregate) also their values, taken while writing."""
+        from pyspark.sql import Observation
 
-    def stash(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        seen = Observation() if measures else None
+        out = df.observe(seen, *(m.alias(n) for n, m in measures.items())) if seen else df
+        with shuffles_removed(self.spark):
+            out.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        return (back, seen.get) if seen else back
+
+    def broadcast(self, value):
+        sent = self.spark.sparkContext.broadcast(value)
+        self._sent.append(sent)
+        return sent
+
+    def release(self) -> None:
+        """Destroy the broadcasts, and let the JVM's cleaner find what ended queries held."""
+        for sent in self._sent:
+            sent.destroy()
+        self._sent = []
+        self.spark.sparkContext._jvm.System.gc()
+
+    def discard(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        self.release()
+        self._delete(self.path)
 
-    def discard(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
