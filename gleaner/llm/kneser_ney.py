@@ -1,27 +1,22 @@
 """Quality classifier: interpolated modified Kneser-Ney over trusted text, thresholded by language on held-out text.
 
-Two models of the trusted text judge a document: word pairs in hash-sharded tables that grow with the text
-(``word_model``), and symbols, which also spell the words that the tables lack. A document is kept where both
-perplexities (a symbol) are within their thresholds. One trusted document of HELD isn't counted by either; these tell
-the thresholds. Of the symbol model:
-
-Symbols are bytes folded into 32 classes (letters without case, one class for capitals, spaces, line ends, digits,
-bytes of other scripts, marks), and the model is of order 5, so all counts fit 32 shards of 32**4 cells whatever the
-corpus; the counts themselves come from every trusted document that isn't held out and their shuffle grows with the input.
+Two models of the trusted text judge a document: word pairs in hash-sharded tables that grow with the text and are
+joined to each document's n-grams (``word_model``), and byte trigrams, which also spell the words that the tables
+lack. A document is kept where both perplexities (a byte) are within their thresholds. One trusted document of HELD
+isn't counted by either; these tell the thresholds. Of the byte model:
 
 1. Trusted documents (``labels.quality = 1``) are found by a join on doc_id behind a bitmap of fixed size, so that few
-   other texts are shuffled. Tasks count 5-grams and send them by the shard of the oldest symbol.
+   other texts are shuffled. Tasks count trigrams and send them by the shard of the oldest byte.
 2. Sharded count joins: each shard sums its counts; the shards' presence maps are joined into continuation counts of
-   the lower orders; each shard then joins its counts with the lower order's probabilities.
-3. Every document is scored in one pass over whole texts with the 32 shards of log-probabilities (32 MiB, to 1/12 bit,
+   the lower orders; each shard then joins its counts with the lower order's probabilities. Discounts are at least 0.05.
+3. Every document is scored in one pass over whole texts with the shards of log-probabilities (32 MiB, to 1/1000 bit,
    broadcast packed); the same pass sends its word n-grams to their tables.
-4. A language's threshold comes from a histogram of its held-out documents' perplexities: ``quantile`` and, from the
-   median, ``margin`` times the spread up to that quantile. Documents above it are rejected. A language with trusted
-   documents of which none is held out uses those that it has.
+4. A document's perplexity is shrunk to its language's mean with the weight of ``prior`` bytes, because a few words
+   say little. A language's threshold is the ``quantile`` of its held-out documents' costs plus ``margin`` bits a byte,
+   the room for what a small sample hasn't shown; documents above it are rejected. A language with trusted documents of which none is held out uses those that it has.
 
-A document's perplexity is shrunk to its language's median with the weight of ``prior`` symbols, because a few words
-say little. Defined results: NULL and empty texts have no symbols, perplexity NULL and are kept; a language without
-trusted documents (NULL language included) uses the thresholds of all languages together; without any trusted
+Defined results: NULL and empty texts have no symbols, perplexity NULL and are kept; a language without trusted
+documents (NULL language included) uses the mean and threshold of all languages together; without any trusted
 document everything is kept; repeated rows are scored alike; an empty table gives an empty result; other columns are
 ignored by ``perplexities`` and kept by ``keep_good``.
 """
@@ -33,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import sketch
@@ -42,26 +37,23 @@ from gleaner.llm.word_model import fit_words, known_grams, word_costs
 from gleaner.operators.skew import join_counted
 from gleaner.workspace import Workspace, fresh_name, shuffle_width
 
-ORDER, BITS = 5, 5
+ORDER, BITS = 3, 8
 SYMBOLS = 1 << BITS
 SHARD = SYMBOLS ** (ORDER - 1)
-SPACE_CLASS, LINE_END = 27, 28
+SPACE_CLASS, LINE_END = 32, 10
 
-CLASS = np.full(256, 31, np.uint8)
-CLASS[ord("a") : ord("z") + 1] = np.arange(26)
-CLASS[ord("A") : ord("Z") + 1] = 26
+#: Bytes are symbols; only the rarer ASCII spaces are written as a space or a line end.
+CLASS = np.arange(SYMBOLS, dtype=np.uint8)
 CLASS[SPACE] = SPACE_CLASS
 CLASS[[10, 13]] = LINE_END
-CLASS[ord("0") : ord("9") + 1] = 29
-CLASS[128:] = 30
-UNIT = 12  # steps of a bit in which log-probabilities are stored
+UNIT = 1000  # steps of a bit in which log-probabilities are stored
 FLUSH = 2_000_000  # distinct grams that a task holds
 HELD = 5  # one of so many trusted documents, by hash of doc_id, is not counted and tells the thresholds
-_BUCKETS = 2000  # histogram buckets a unit of log2 perplexity
+_BUCKETS = 20_000  # histogram buckets a unit of log2 perplexity
 
 
 def gram_keys(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, 5-gram keys of a chunk, where each row's keys begin); rows begin after four line ends."""
+    """(first row, trigram keys of a chunk, where each row's keys begin); rows begin after two line ends."""
     for c in chunks(texts):
         size = np.diff(c.offsets)
         pad = ORDER - 1
@@ -132,7 +124,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count_shards(trusted: DataFrame) -> DataFrame:
-    """(shard, counts): the sum of every trusted document's 5-grams.
+    """(shard, counts): the sum of every trusted document's trigrams.
 
     Where there are more tasks than shards, each shard is first summed in as many salted parts.
     """
@@ -170,12 +162,13 @@ def _count_shards(trusted: DataFrame) -> DataFrame:
 
 
 def coded(p: np.ndarray) -> bytes:
-    """-log2 p in units of 1/UNIT bit, rounded to a byte (at most 21.25 bits) and zlib-packed."""
-    return zlib.compress(np.minimum(np.rint(-UNIT * np.log2(p)), 255).astype(np.uint8).data, 1)
+    """-log2 p in units of 1/UNIT bit as 16-bit numbers, zlib-packed. They would end at 65 bits, which no probability reaches
+    that comes from fewer than 2**57 symbols."""
+    return zlib.compress(np.minimum(np.rint(-UNIT * np.log2(p)), 65535).astype(np.uint16).data, 1)
 
 
 class SymbolModel:
-    """The coded probability of every 5-gram, in packed shards: only workers hold the whole table."""
+    """The coded probability of every trigram, in packed shards: only workers hold the whole table."""
 
     def __init__(self, shards: list[bytes]):
         self.shards = shards
@@ -190,9 +183,9 @@ class SymbolModel:
     @property
     def cost(self) -> np.ndarray:
         if self._cost is None:
-            self._cost = np.empty(SYMBOLS * SHARD, np.uint8)
+            self._cost = np.empty(SYMBOLS * SHARD, np.uint16)
             for s, packed in enumerate(self.shards):
-                self._cost[s * SHARD : (s + 1) * SHARD] = np.frombuffer(zlib.decompress(packed), np.uint8)
+                self._cost[s * SHARD : (s + 1) * SHARD] = np.frombuffer(zlib.decompress(packed), np.uint16)
         return self._cost
 
 
@@ -238,12 +231,12 @@ def fit(trusted: DataFrame, work: Workspace) -> SymbolModel | None:
     return SymbolModel(model)
 
 
-def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _likely(docs: DataFrame, ids: DataFrame, work: Workspace) -> DataFrame:
     """The rows of ``docs`` whose doc_id may be in ``ids``: a bitmap of 2**24 bits a sketch row, broadcast."""
     def keys(batch):
         yield mix(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
-    sent = docs.sparkSession.sparkContext.broadcast(sketch.mark_repeated(ids, keys, [1], 2, [24]))
+    sent = work.broadcast(sketch.mark_repeated(ids, keys, [1], 2, [24]))
 
     def of(batches):
         for b in batches:
@@ -253,17 +246,38 @@ def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(of, docs.schema)
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.9, margin: float = 4.0, prior: float = 100.0) -> DataFrame:
+_MODELS = (("word", "word_bits", ""), ("symbol", "bits", "symbol_"))
+
+
+def _cuts(scores: DataFrame, good: DataFrame, code: Column, quantile: float, margin: float, prior: float, work: Workspace) -> DataFrame:
+    """(code, docs and each model's mean and cut, in bits a symbol): what shrinks and bounds the documents of a language."""
+    known = scores.filter("n_symbols > 0").join(good.hint("merge"), "doc_id").select(
+        F.explode(F.array(F.struct(F.lit(False).alias("all"), code.alias("code")), F.struct(F.lit(True).alias("all"), F.lit("").alias("code")))).alias("of"), "held", "n_symbols", "bits", "word_bits")
+    known = known.select("of.all", "of.code", "held", "n_symbols", "bits", "word_bits")
+    sums = work.stash(known.groupBy("all", "code", "held").agg(*(F.sum(c).alias(c) for c in ("n_symbols", "bits", "word_bits"))), "sums")
+    use = sums.groupBy("all", "code").agg(F.max_by(F.struct("held", *((F.col(b) / F.col("n_symbols")).alias(f"{m}_mean") for m, b, _ in _MODELS)), "held").alias("use")).select("all", "code", "use.*")
+    shrunk = known.join(use, ["all", "code", "held"]).select("all", "code", F.explode(F.array(*(
+        F.struct(F.lit(m).alias("model"), F.col(f"{m}_mean").alias("mean"), F.floor((F.col(b) + prior * F.col(f"{m}_mean")) / (F.col("n_symbols") + prior) * _BUCKETS).cast("long").alias("bucket")) for m, b, _ in _MODELS))).alias("x"))
+    # the smallest bucket at which the share is reached; a group holds a count for each distinct bucket
+    limit = (F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY bucket)") + 1) / F.lit(float(_BUCKETS)) + margin
+    cuts = shrunk.select("all", "code", "x.*").groupBy("all", "code").pivot("model", [m for m, _, _ in _MODELS]).agg(F.max("mean").alias("mean"), limit.alias("cut"))
+    cuts = work.stash(cuts, "limits")
+    names = [f"{m}_{c}" for m, _, _ in _MODELS for c in ("mean", "cut")]
+    general = cuts.filter("all").select(*(F.col(c).alias(f"all_{c}") for c in names))
+    out = scores.groupBy(code.alias("code")).agg(F.count("*").alias("docs")).join(cuts.filter("not all").drop("all"), "code", "left").join(general, how="left")
+    return work.stash(out.select("code", "docs", *(F.coalesce(c, f"all_{c}").alias(c) for c in names)), "cuts")
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 0.05, prior: float = 100.0) -> DataFrame:
     """Per document: doc_id, lang, n_symbols, perplexity and threshold of the word model (both shrunk, a symbol), the
     same of the symbol model, keep."""
-    from pyspark.sql import Window
-
     spark = docs.sparkSession
     work = Workspace(spark, "kneser-ney")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
     good = good.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD)) == 0)
-    trusted = work.stash(_likely(docs.select("doc_id", "text"), good).join(good.hint("merge"), "doc_id").select("text", "held"), "trusted")
+    trusted = work.stash(_likely(docs.select("doc_id", "text"), good, work).join(good.hint("merge"), "doc_id").select("text", "held"), "trusted")
+    work.release()
     train = trusted.filter("not held").select("text")
     model = fit(train, work)
     if model is None:  # too few trusted documents to hold some out
@@ -272,47 +286,27 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.9, marg
     if model is None:
         none = [F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold", "symbol_perplexity", "symbol_threshold")]
         return docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), *none, F.lit(True).alias("keep"))
-    sent = spark.sparkContext.broadcast(model)
+    sent = work.broadcast(model)
     tables = fit_words(train, sent, work, "trusted")
-    maybe = known_grams(tables)
-    scores = work.stash(word_costs(docs, sent, tables, maybe), "scores")
-    sent.destroy()
-    maybe.destroy()
-    work.discard("words")
-    code = F.coalesce("lang", F.lit("")).alias("code")
-    known = scores.filter("n_symbols > 0").join(good.hint("merge"), "doc_id").select(code, "held", F.explode(F.create_map(F.lit("symbol"), F.col("bits"), F.lit("word"), F.col("word_bits"))).alias("model", "cost"), "n_symbols")
-    hist = work.stash(known.groupBy("model", "code", "held", F.floor(F.col("cost") / F.col("n_symbols") * _BUCKETS).cast("long").alias("b")).count(), "histogram")
-
-    def marks(keys: list[str], prefix: str) -> DataFrame:
-        """The buckets at which half and ``quantile`` of a group's held-out documents (without any: of its trusted ones) are reached."""
-        group = Window.partitionBy(*keys)
-        rows = hist.withColumn("any", F.max("held").over(group)).filter("held = any").groupBy(*keys, "b").agg(F.sum("count").alias("count"))
-        run = rows.withColumn("upto", F.sum("count").over(group.orderBy("b"))).withColumn("all", F.sum("count").over(group))
-        reached = lambda point: F.min(F.when(F.col("upto") >= point * F.col("all"), F.col("b"))) / F.lit(float(_BUCKETS))
-        return run.groupBy(*keys).agg(reached(0.5).alias(f"{prefix}mid"), reached(quantile).alias(f"{prefix}high"))
-
-    general = {r.model: r for r in marks(["model"], "").collect()}  # two rows
-    cuts = scores.groupBy(code).agg(F.count("*").alias("docs"))
-    own = marks(["model", "code"], "")
-    for m in ("word", "symbol"):
-        cuts = cuts.join(own.filter(F.col("model") == m).select("code", F.col("mid").alias(f"{m}_mid"), F.col("high").alias(f"{m}_high")), "code", "left")
-        g = general.get(m)
-        for c in ("mid", "high"):
-            cuts = cuts.withColumn(f"{m}_{c}", F.coalesce(f"{m}_{c}", F.lit(g[c] if g else None).cast("double")))
-    cuts = work.stash(cuts, "cuts")
-    judged = join_counted(scores.withColumn("code", F.coalesce("lang", F.lit(""))), cuts, ["code"], "docs", F.struct("doc_id", "bits"), "left")
-    out, fine = [], F.col("n_symbols").eqNullSafe(0)
-    within = F.lit(True)
-    for m, bits, name in (("word", "word_bits", ""), ("symbol", "bits", "symbol_")):
-        mid, high = F.col(f"{m}_mid"), F.col(f"{m}_high")
-        shrunk, limit = (F.col(bits) + prior * mid) / (F.col("n_symbols") + prior), mid + margin * (high - mid)
+    scores = work.stash(word_costs(docs, sent, tables, known_grams(tables, work)), "scores")
+    work.discard("words", "shards")
+    work.release()
+    code = F.coalesce("lang", F.lit(""))
+    cuts = _cuts(scores, good, code, quantile, margin, prior, work)
+    judged = join_counted(scores.withColumn("code", code), cuts, ["code"], "docs", F.struct("doc_id", "bits"), "left")
+    out, within = [], F.lit(True)
+    for m, bits, name in _MODELS:
+        shrunk, limit = (F.col(bits) + prior * F.col(f"{m}_mean")) / (F.col("n_symbols") + prior), F.col(f"{m}_cut")
         out += [F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), shrunk)).alias(f"{name}perplexity"), F.pow(F.lit(2.0), limit).alias(f"{name}threshold")]
         within = within & F.coalesce(shrunk <= limit, F.lit(True))
-    return judged.select("doc_id", "lang", "n_symbols", *out, (fine | within).alias("keep"))
+    return judged.select("doc_id", "lang", "n_symbols", *out, (F.col("n_symbols").eqNullSafe(0) | within).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, all columns as they are; rows with equal doc_id share their fate."""
-    name = fresh_name("_bad", docs.columns)
-    bad = perplexities(docs, labels, **settings).filter("not keep").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """The rows of ``docs`` that are not rejected, all columns as they are.
+
+    Rows with equal doc_id (NULL among them) share their fate: they stay where any of them is kept.
+    """
+    name, ok = fresh_name("_doc", docs.columns), fresh_name("_ok", docs.columns)
+    judged = perplexities(docs, labels, **settings).groupBy(F.col("doc_id").alias(name)).agg(F.max("keep").alias(ok))
+    return docs.join(judged.filter(~F.col(ok)).select(name), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -31,7 +31,7 @@ from gleaner.llm.textkernel import Chunk, chunks, mix
 from gleaner.workspace import Workspace, shuffle_width
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
-FINE = 1200  # steps of a bit in which deltas are stored
+FINE = 1000  # steps of a bit in which deltas are stored
 FLUSH = 2_000_000  # n-grams that a task holds
 MAP_BITS = 27
 
@@ -292,7 +292,7 @@ def fit_words(trusted: DataFrame, sent, work: Workspace, stashed: str | None = N
     return WordTables(second, shards, d, int(cc[5]), float(free / cc[5]))
 
 
-def known_grams(tables: WordTables):
+def known_grams(tables: WordTables, work: Workspace):
     """The broadcast bitmap of the tables' n-grams."""
     deltas = tables.deltas()
 
@@ -300,7 +300,7 @@ def known_grams(tables: WordTables):
         for blob in batch.column("blob"):
             yield deltas(blob.as_py())[0]
 
-    return tables.table.sparkSession.sparkContext.broadcast(sketch.mark_repeated(tables.table.select("blob"), table_keys, [1], 1, [MAP_BITS]))
+    return work.broadcast(sketch.mark_repeated(tables.table.select("blob"), table_keys, [1], 1, [MAP_BITS]))
 
 
 def word_costs(docs: DataFrame, sent, tables: WordTables, maybe) -> DataFrame:

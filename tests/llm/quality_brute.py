@@ -7,9 +7,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def symbol(b):
-    if 97 <= b <= 122:
-        return b - 97
-    return 26 if 65 <= b <= 90 else 28 if b in (10, 13) else 27 if chr(b) in SPACES else 29 if 48 <= b <= 57 else 30 if b >= 128 else 31
+    return 10 if b in (10, 13) else 32 if b in (9, 11, 12) else b
 
 
 def discounts(counts):
@@ -21,13 +19,13 @@ def discounts(counts):
 
 
 class Symbols:
-    """Order 5 over 32 symbols; costs in steps of 1/12 bit."""
+    """Order 3 over bytes; costs in steps of 1/1000 bit."""
 
     def __init__(self, texts):
         grams = Counter()
         for t in texts:
-            s = [28] * 4 + [symbol(b) for b in t.encode()]
-            grams.update(tuple(s[i - 4 : i + 1]) for i in range(4, len(s)))
+            s = [10] * 2 + [symbol(b) for b in t.encode()]
+            grams.update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
         self.levels = [grams]
         while len(next(iter(self.levels[-1]))) > 1:
             self.levels.append(Counter(g[1:] for g in self.levels[-1]))
@@ -41,7 +39,7 @@ class Symbols:
 
     def p(self, gram):
         if not gram:
-            return 1 / 32
+            return 1 / 256
         if gram not in self.held:
             k, lower = len(gram) - 1, self.p(gram[1:])
             seen, d = self.follow[k].get(gram[:-1]), self.d[k]
@@ -51,14 +49,14 @@ class Symbols:
 
     def cost(self, context, data):
         s = context + [symbol(b) for b in data]
-        return sum(min(round(-12 * math.log2(self.p(tuple(s[i - 4 : i + 1])))), 255) for i in range(4, len(s)))
+        return sum(round(-1000 * math.log2(self.p(tuple(s[i - 2 : i + 1])))) for i in range(2, len(s)))
 
     def text(self, text):
-        return self.cost([28] * 4, text.encode()) / 12
+        return self.cost([10] * 2, text.encode()) / 1000
 
     def word(self, w):
         if w not in self.costs:
-            self.costs[w] = self.cost([27] * 4, (w + " ").encode()) / 12
+            self.costs[w] = self.cost([32] * 2, (w + " ").encode()) / 1000
         return self.costs[w]
 
 
@@ -93,7 +91,7 @@ class Words:
         return sum(-math.log2(self.p(v, w)) for v, w in path(text))
 
 
-def perplexities(docs, good, held, quantile=0.9, margin=4.0, prior=100.0):
+def perplexities(docs, good, held, quantile=0.999, margin=0.05, prior=100.0):
     """docs: (doc_id, text, lang); ``good``: trusted ids, ``held`` those held out. Per row: id, four figures, keep."""
     train = [t or "" for d, t, _ in docs if d in good and d not in held]
     symbols = Symbols(train)
@@ -102,16 +100,21 @@ def perplexities(docs, good, held, quantile=0.9, margin=4.0, prior=100.0):
     size = [len((t or "").encode()) for _, t, _ in docs]
 
     def marks(k, some):
+        """Mean cost and threshold, in bits a byte."""
         mine = [i for i in some if docs[i][0] in good and size[i]]
-        mine = sorted(math.floor(bits[i][k] / size[i] * 2000) for i in ([i for i in mine if docs[i][0] in held] or mine))
-        return [next(b for j, b in enumerate(mine, 1) if j >= point * len(mine)) / 2000 for point in (0.5, quantile)] if mine else None
+        mine = [i for i in mine if docs[i][0] in held] or mine
+        if not mine:
+            return None
+        mean = sum(bits[i][k] for i in mine) / sum(size[i] for i in mine)
+        cost = sorted(math.floor((bits[i][k] + prior * mean) / (size[i] + prior) * 20000) for i in mine)
+        return mean, (next(c for j, c in enumerate(cost, 1) if j >= quantile * len(cost)) + 1) / 20000 + margin
 
     out = []
     for i, (d, _, lang) in enumerate(docs):
         figures, keep = [], True
         for k in range(2):
-            mid, high = marks(k, [j for j in range(len(docs)) if (docs[j][2] or "") == (lang or "")]) or marks(k, range(len(docs)))
-            shrunk, limit = (bits[i][k] + prior * mid) / (size[i] + prior), mid + margin * (high - mid)
+            mean, limit = marks(k, [j for j in range(len(docs)) if (docs[j][2] or "") == (lang or "")]) or marks(k, range(len(docs)))
+            shrunk = (bits[i][k] + prior * mean) / (size[i] + prior)
             figures += [2**shrunk if size[i] else None, 2**limit]
             keep = keep and (not size[i] or shrunk <= limit)
         out.append((d, *figures, keep))

@@ -103,3 +103,24 @@ def test_order_of_words_counts(spark):
     assert out[100].perplexity > 1.5 * max(out[i].perplexity for i in range(60))
     blank = spark.createDataFrame([(1, "  \n", "en"), (2, "ab cd", "en")], "doc_id long, text string, lang string")
     assert kneser_ney.perplexities(blank, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).filter("perplexity is null").count() == 0
+
+
+def test_other_scripts_are_told_apart(spark):
+    """Texts in two scripts, alike in lengths and spaces, have their own costs; the words of one are unseen in the other."""
+    rng = random.Random(8)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(60))
+    cyrillic, greek = "абвгд", "αβγδε"
+    rows = [(i, make(cyrillic), "x") for i in range(80)] + [(100, make(greek), "x"), (101, make("世界平和人"), "x"), (102, make(cyrillic), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in kneser_ney.perplexities(docs, spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")).collect()}
+    assert out[102].keep and not out[100].keep and not out[101].keep
+    assert min(out[100].symbol_perplexity, out[101].symbol_perplexity) > 2 * out[102].symbol_perplexity
+
+
+def test_null_ids_share_their_fate(spark):
+    rows = [(i, "a clean line of text and more of it", "en") for i in range(40)] + [(None, "%%% $$$ ### @@@ ^^^ ~~~ |||| {{{{ }}}}" * 20, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    assert kneser_ney.keep_good(docs, labels).filter("doc_id is null").count() == 0
+    both = docs.union(spark.createDataFrame([(None, "a clean line of text and more of it", "en")], docs.schema))
+    assert kneser_ney.keep_good(both, labels).filter("doc_id is null").count() == 2
