@@ -45,8 +45,8 @@ def test_run_equals_plain_python(spark, mixed, tmp_path):  # noqa: F811
     rows, labels, items = mixed
     rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
     # an edited copy of an item, so that leaks aren't only verbatim
-    # (it goes into a text that is trusted, so that the quality stage lets it through)
-    rows.append((300, " ".join("ing" if i in (3, 27) else w for i, w in enumerate(items[2][1].split(" "))) + " " + next(t for d, t, x in rows if d == 204), "en"))
+    # (it goes into a text that is trusted, so that the quality stage lets it through; only a part, or it would be a near copy)
+    rows.append((300, " ".join("ing" if i in (3, 27) else w for i, w in enumerate(items[2][1].split(" "))) + " " + " ".join(next(t for d, t, x in rows if d == 204).split(" ")[:150]), "en"))
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(d, t, lang, f"s{d % 3}", len(t or "")) for d, t, lang in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
