@@ -1,24 +1,26 @@
 """N-gram Jaccard join by prefix trees, and the classes that its links form.
 
 A document's set holds its distinct word n-grams (64-bit hashes), in a global order from a count-min sketch of all
-documents: n-grams estimated unique first, then by level of estimated frequency, then by hash. Any order that all
-sets share gives exact results; this one puts frequent n-grams last. From it follow, without loss:
+documents: by level of estimated frequency, then by hash. Any order that all sets share gives exact results. From it
+follow, without loss:
 
 * A set of which too few n-grams may occur elsewhere has no link. It is set aside at once.
 * Equal sets are one class; one representative of each goes on.
-* Two linked sets share an n-gram of their prefixes (the first n - ceil(t n) + 1), and their sizes differ by one band
-  at most. Representatives that share a prefix n-gram and a band are tied to the smallest of its holders, one row a
-  holder; the components of these ties hold every link.
-* Each band of a component is cut into blocks of about ``BLOCK`` sets, and each pair of blocks is joined in one task by
-  a trie: sets are stored as paths in an order by frequency within the task, so that near copies share long
-  stretches; a probe walks the trie with the overlap so far and leaves a subtree when even its whole remaining length
-  can't reach the threshold, or when all sets below are already in the probe's class. So a task returns links that
-  span its classes, not all pairs.
+* Two linked sets share an n-gram of their prefixes (the n - ceil(t n) + 1 rarest), and their sizes differ by one band
+  at most. A posting is the holders of a prefix n-gram in a band, its hub the smallest of them. All holders of all
+  postings of a hub meet in one group, so two linked sets meet in some group, and a set goes only once to each of its
+  hubs. A group of more than ``BLOCK`` sets is dealt by its single postings where these make fewer pairs; what is still
+  larger is cut into blocks, of which each pair is joined in one task. Nothing is followed beyond a hub: sets that are
+  only tied through others never meet.
+* A group is joined by a trie: sets are stored as paths in the global order, frequent n-grams first, without those that
+  occur in one document only. A probe walks the trie with the overlap so far, which sets below share, and leaves a
+  subtree when even its whole remaining length can't reach the threshold, or when all sets below are already in the
+  probe's class. So a task returns links that span its classes, not all pairs.
 
 A hot n-gram or a class of many copies is never gathered: counts are pre-aggregated and joins on n-grams spread
 their hot keys. Defined results: NULL, empty and wordless texts have n_shingles 0 and are linked with nothing; a
-text of fewer words than n is one n-gram; repeated rows are equal sets; an empty table gives an empty result; other
-columns are ignored.
+text of fewer words than n is one n-gram; of rows with equal doc_id each gets the class of its own
+set, and sets whose smallest holder is the same doc_id share its class; a row without doc_id is linked with nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from gleaner.llm import sketch
 from gleaner.llm.textkernel import Chunk, chunks, mix, rolling
 from gleaner.operators.graph import connected_components
 from gleaner.operators.skew import join_counted
-from gleaner.workspace import Workspace
+from gleaner.workspace import Workspace, shuffles_removed
 
 #: Sketch counts at which an n-gram reaches the next level of the order, and the log2 bits of each level's bitmap.
 LEVELS, FOLDS = [2, 3, 6, 16, 128, 1024], [28, 26, 25, 24, 24, 24]
@@ -64,44 +66,44 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def size_bands(size: Column, percent: int) -> Column:
-    """Two bands of a set's size, on a scale whose steps are the ratio 100 / percent: linked sets share one."""
-    band = F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) * (1 - 1e-9)).cast("int") if percent < 100 else size.cast("int")
-    return F.array(band, band + 1)
+def size_band(size: Column, percent: int) -> Column:
+    """A set's band of sizes, on a scale whose steps are the ratio 100 / percent: linked sets are at most one band apart."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) * (1 - 1e-9)).cast("int") if percent < 100 else size.cast("int") * 2
 
 
 def _sets(sent, n: int, percent: int):
-    names = ["doc_id", "n_shingles", "k1", "k2", "tokens", "prefix"]
+    names = ["doc_id", "n_shingles", "k1", "k2", "tokens", "levels", "prefix"]
 
     def of(batches):
         marks = sent.value
         for batch in batches:
             for c in chunks(batch.column("text"), lower=True):
-                sizes, k1, k2, tokens, prefix = [], [], [], [], []
+                sizes, rest = [], [[] for _ in names[2:]]
                 sets = shingle_sets(c, n)
                 whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                seen = marks.reach(whole)
+                level = marks.reach(whole).astype(np.int8)
+                for at in range(1, len(LEVELS)):
+                    some = np.flatnonzero(level == at)
+                    level[some] += marks.reach(whole[some], at)
                 edge = np.cumsum([0, *(len(s) for s in sets)])
                 for i, s in enumerate(sets):
                     sizes.append(len(s))
-                    again = seen[edge[i] : edge[i + 1]]
-                    if not len(s) or again.sum() < least_overlap(len(s), percent):
-                        for x in (k1, k2, tokens, prefix):
+                    own = level[edge[i] : edge[i + 1]]
+                    least = least_overlap(len(s), percent)
+                    if not len(s) or np.count_nonzero(own) < least:
+                        for x in rest:
                             x.append(None)
                         continue
-                    level = again.astype(np.int8)
-                    for at in range(1, len(LEVELS)):
-                        level += level.astype(bool) & marks.reach(s, at)
-                    order = np.lexsort((s, level))
+                    again = np.flatnonzero(own)
+                    order = again[np.lexsort((s[again], -own[again]))]
+                    # the rarest len(s) - least + 1, less those that no other document has
+                    head = order[min(least - 1, len(order)) :]
                     with np.errstate(over="ignore"):
-                        k1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                        k2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                    tokens.append(s.tobytes())
-                    head = order[: len(s) - least_overlap(len(s), percent) + 1]
-                    prefix.append(s[head[again[head]]].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(c.first, c.rows), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                    pa.array(tokens, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names)
+                        keys = [int(mix(s ^ np.uint64(x)).sum(dtype=np.uint64).astype(np.int64)) for x in (0, 0x5851F42D4C957F2D)]
+                    for x, v in zip(rest, (*keys, s[order].tobytes(), own[order].tobytes(), s[head].astype(np.int64)), strict=True):
+                        x.append(v)
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first, c.rows), pa.array(sizes, pa.int64()), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names)
 
     return of
 
@@ -122,34 +124,35 @@ class _Union:
 
 
 class _Node:
-    """A stretch of tokens shared by all sets below; ``low`` and ``high`` bound the sizes of the sets below."""
+    """A stretch of tokens shared by all sets below; ``low`` and ``high`` bound the sizes of the sets below, ``long`` their paths."""
 
-    __slots__ = ("stretch", "children", "ends", "low", "high", "depth", "first", "root", "all_in")
+    __slots__ = ("stretch", "children", "ends", "low", "high", "long", "depth", "first", "root", "all_in")
 
     def __init__(self, stretch: frozenset, depth: int, first: int):
         self.stretch, self.depth, self.first, self.children, self.ends = stretch, depth, first, [], []
-        self.low = self.high = 0
+        self.low = self.high = self.long = 0
         self.root, self.all_in = -1, False
 
 
-def _build(paths: list[tuple[np.ndarray, int]]) -> _Node:
-    """A compressed trie of (rank path, set) sorted by path; depth counts the tokens down to a node's end."""
+def _build(paths: list[np.ndarray], sizes: list[int], order: list[int]) -> _Node:
+    """A compressed trie of the paths of ``order``, which is sorted by path; depth counts the tokens down to a node's end."""
     top = _Node(frozenset(), 0, -1)
-    work = [(top, paths, 0)]
+    work = [(top, order, 0)]
     while work:
         node, group, at = work.pop()
-        node.low, node.high = min(len(p) for p, _ in group), max(len(p) for p, _ in group)
+        node.low, node.high = min(sizes[i] for i in group), max(sizes[i] for i in group)
+        node.long = max(len(paths[i]) for i in group)
         i = 0
         while i < len(group):
-            path, one = group[i]
+            path = paths[group[i]]
             if len(path) == at:
-                node.ends.append(one)
+                node.ends.append(group[i])
                 i += 1
                 continue
             j = i + 1
-            while j < len(group) and group[j][0][at] == path[at]:
+            while j < len(group) and paths[group[j]][at] == path[at]:
                 j += 1
-            last = group[j - 1][0]
+            last = paths[group[j - 1]]
             m = min(len(path), len(last))
             differ = np.flatnonzero(path[at:m] != last[at:m])
             stop = at + int(differ[0]) if len(differ) else m
@@ -160,17 +163,24 @@ def _build(paths: list[tuple[np.ndarray, int]]) -> _Node:
     return top
 
 
-def trie_links(sets: list[np.ndarray], probes: np.ndarray, stored: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (i, j) that span the classes formed by all links between a set of ``probes`` and one of ``stored``."""
-    token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def global_paths(tokens: list[np.ndarray], levels: list[np.ndarray]) -> list[np.ndarray]:
+    """Each set's tokens as ranks of the global order (by falling level, then by token), in which they are stored."""
+    if not tokens:
+        return []
+    token, at, inverse = np.unique(np.concatenate(tokens), return_index=True, return_inverse=True)
     rank = np.empty(len(token), np.int64)
-    rank[np.lexsort((token, -count))] = np.arange(len(token))
-    ranks = rank[inverse]
-    edge = np.cumsum([0, *(len(s) for s in sets)])
-    paths = [np.sort(ranks[edge[i] : edge[i + 1]]) for i in range(len(sets))]
+    rank[np.lexsort((token, -np.concatenate(levels)[at]))] = np.arange(len(token))
+    return np.split(rank[inverse], np.cumsum([len(t) for t in tokens])[:-1])
+
+
+def trie_links(paths: list[np.ndarray], sizes: list[int], probes: np.ndarray, stored: np.ndarray, own: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that span the classes formed by all links between a set of ``probes`` and one of ``stored``, of which
+    one at least is in ``own``. ``sizes`` count the tokens that occur in one set only, too."""
     order = sorted(np.flatnonzero(stored).tolist(), key=lambda i: paths[i].tolist())
-    top = _build([(paths[i], i) for i in order])
-    classes, found = _Union(len(sets)), []
+    if not order:
+        return []
+    top = _build(paths, sizes, order)
+    classes, found = _Union(len(paths)), []
 
     def settled(node: _Node, mine: int) -> bool:
         """All sets below are in the class ``mine``; what is once in one class stays in one."""
@@ -188,21 +198,21 @@ def trie_links(sets: list[np.ndarray], probes: np.ndarray, stored: np.ndarray, p
         return True
 
     for x in np.flatnonzero(probes).tolist():
-        path, size = paths[x], len(paths[x])
+        path, size = paths[x], sizes[x]
         probe = set(path.tolist())
         stack = [(top, 0)]
         while stack:
             node, common = stack.pop()
             common += len(node.stretch & probe)
             for e in node.ends:
-                if e != x and linked(common, size, node.depth, percent) and classes.find(e) != classes.find(x):
+                if e != x and linked(common, size, sizes[e], percent) and (own[x] or own[e]) and classes.find(e) != classes.find(x):
                     classes.join(e, x)
                     found.append((x, e))
             for child in node.children:
                 if child.high * 100 < percent * size or child.low * percent > 100 * size:
                     continue
                 # paths ascend: below, only the probe's tokens from the child's first on can still be met
-                rest = min(size - int(np.searchsorted(path, child.first)), child.high - node.depth)
+                rest = min(len(path) - int(np.searchsorted(path, child.first)), child.long - node.depth)
                 if (common + rest) * (100 + percent) < percent * (size + max(child.low, least_overlap(size, percent))):
                     continue
                 if not settled(child, classes.find(x)):
@@ -212,15 +222,35 @@ def trie_links(sets: list[np.ndarray], probes: np.ndarray, stored: np.ndarray, p
 
 def _join_blocks(percent: int):
     def of(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_pylist()
-        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
+        ids, sizes = table.column("rep").to_pylist(), table.column("n_shingles").to_pylist()
+        paths = global_paths([np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")], [np.frombuffer(t.as_buffer(), np.int8) for t in table.column("levels")])
         block, bi, bj = table.column("block").to_numpy(), table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        pairs = trie_links(sets, block == bi, block == bj, percent)
+        pairs = trie_links(paths, sizes, block == bi, block == bj, table.column("own").to_numpy(), percent)
         return pa.table({"src": pa.array([ids[i] for i, _ in pairs], pa.int64()), "dst": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
     return of
 
 
+def _groups(one: DataFrame, work: Workspace) -> DataFrame:
+    """(rep, hub, band, gram, own, blocks): the sets of each group, gram 0 where the hub's postings are joined together.
+
+    A set is at home (``own``) in the smaller of its two bands. Two sets of one home are compared there and not in the
+    other band that they share.
+    """
+    posted = one.select("rep", F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x"), "prefix")
+    posted = posted.select("rep", "x.band", "x.own", F.explode("prefix").alias("gram"))
+    held = posted.groupBy("gram", "band").agg(F.count("*").alias("holders"), F.min("rep").alias("hub"), F.max("own").alias("any")).filter("holders > 1 and any").drop("any")
+    held = work.stash(held, "held")
+    members = work.stash(join_counted(posted, held, ["gram", "band"], "holders", F.col("rep")).select("hub", "band", "rep", "own").distinct(), "members")
+    pairs = held.groupBy("hub", "band").agg(F.sum(F.col("holders").cast("double") * F.col("holders")).alias("pairs"))
+    size = members.groupBy("hub", "band").agg(F.count("*").alias("members")).join(pairs, ["hub", "band"])
+    size = work.stash(size.select("hub", "band", "members", ((F.col("members") > BLOCK) & (F.col("pairs") < F.col("members").cast("double") * F.col("members"))).alias("split")), "sizes")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias("blocks")
+    whole = join_counted(members, size.filter("not split").drop("split"), ["hub", "band"], "members", F.col("rep")).select("rep", "hub", "band", F.lit(0).cast("long").alias("gram"), "own", blocks("members"))
+    parts = work.stash(held.join(size.filter("split").select("hub", "band"), ["hub", "band"]), "parts")
+    return whole.unionByName(join_counted(posted, parts, ["gram", "band"], "holders", F.col("rep")).select("rep", "hub", "band", "gram", "own", blocks("holders")))
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -236,28 +266,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
             if sets:
                 yield np.concatenate(sets)
 
-    sent = spark.sparkContext.broadcast(sketch.mark_repeated(docs.select("text"), keys, LEVELS, 1, FOLDS))
-    sets = work.stash(docs.mapInArrow(_sets(sent, n, percent), "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, prefix array<long>"), "sets")
-    sent.destroy()
+    with shuffles_removed(spark):
+        sent = work.broadcast(sketch.mark_repeated(docs.select("text"), keys, LEVELS, 1, FOLDS))
+    sets = work.stash(docs.mapInArrow(_sets(sent, n, percent), "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, levels binary, prefix array<long>"), "sets")
+    work.release()
     kept = sets.filter("k1 is not null and doc_id is not null")
     reps = work.stash(kept.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
     one = kept.join(reps.select("k1", "k2", "rep"), (kept.doc_id == F.col("rep")) & (kept.k1 == reps.k1) & (kept.k2 == reps.k2), "inner")
-    one = one.select("rep", kept.k1, kept.k2, "tokens", "prefix", size_bands(F.col("n_shingles"), percent).alias("bands"))
+    one = one.select("rep", kept.k1, kept.k2, "n_shingles", "tokens", "levels", "prefix", size_band(F.col("n_shingles"), percent).alias("band"))
     one = work.stash(one.dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "one")
-    posted = one.select("rep", F.explode("bands").alias("band"), "prefix").select("rep", "band", F.explode("prefix").alias("gram"))
-    held = work.stash(posted.groupBy("gram", "band").agg(F.count("*").alias("holders"), F.min("rep").alias("hub")).filter("holders > 1"), "held")
-    ties = join_counted(posted, held, ["gram", "band"], "holders", F.col("rep")).filter("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst"))
-    near = work.stash(connected_components(ties), "near")
-    placed = work.stash(one.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "component", F.explode("bands").alias("band")), "placed")
-    total = placed.groupBy("component", "band").agg(F.count("*").alias("members")).filter("members > 1")
-    total = work.stash(total.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "total")
-    cut = join_counted(placed, total, ["component", "band"], "members", F.col("rep"))
-    cut = cut.select("rep", "component", "band", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    dealt = cut.join(one.select("rep", "tokens"), "rep").select("rep", "component", "band", "block", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("rep", "component", "band", "block", "tokens", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    links = dealt.groupBy("component", "band", "bi", "bj").applyInArrow(_join_blocks(percent), "src long, dst long")
-    classes = connected_components(work.stash(links, "links"))
+    cut = work.stash(_groups(one, work), "groups").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = cut.join(one.select("rep", "n_shingles", "tokens", "levels"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("rep", "hub", "band", "gram", "own", "block", "n_shingles", "tokens", "levels", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    links = work.stash(dealt.groupBy("hub", "band", "gram", "bi", "bj").applyInArrow(_join_blocks(percent), "src long, dst long"), "links")
+    work.discard("one", "held", "members", "groups", "parts")
+    classes = connected_components(links)
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id"))
     named = work.stash(named, "named")
     out = join_counted(sets.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], "copies", F.col("doc_id"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

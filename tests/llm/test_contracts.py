@@ -133,3 +133,59 @@ def test_empty_tables(spark, empty):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     same(spark, SF, queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """Small vocabularies and clusters larger than a block, by the hub and by single postings."""
+    from gleaner.llm import jaccard_join
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(8, 30)))) for i in range(150)]
+    base = [f"v{rng.randrange(900)}" for _ in range(80)]
+    for i in range(150, 220):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(80)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (6, 40):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        for n, percent in ((1, 60), (4, 85)):
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, n, percent).collect()} == brute.jaccard(rows, n, percent)
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (None, a), (None, None), (1, c), (1, c), (1, a + " z")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()), key=repr)
+    assert got == sorted([(3, 27, 1), (5, 27, 1), (5, 27, 5), (7, 27, 5), (None, 27, None), (None, 0, None), (1, 27, 1), (1, 27, 1), (1, 28, 1)], key=repr)
+
+
+def test_trie_against_all_pairs():
+    from collections import Counter
+
+    import numpy as np
+
+    from gleaner.llm.jaccard_join import global_paths, linked, trie_links
+
+    rng = np.random.RandomState(4)
+    for percent in (50, 80):
+        sets = [np.unique(rng.randint(0, 25, rng.randint(3, 12))).astype(np.uint64) for _ in range(60)]
+        often = Counter(x for s in sets for x in s.tolist())
+        level = lambda x: min(often[x] // 8, 3)
+        sets = [np.array(sorted(s.tolist(), key=lambda x: (-level(x), x)), np.uint64) for s in sets]
+        paths = global_paths(sets, [np.array([level(x) for x in s.tolist()], np.int8) for s in sets])
+        assert all((np.diff(p) > 0).all() for p in paths)
+        half = np.arange(60) < 30
+        found = trie_links(paths, [len(s) for s in sets], half, ~half, np.ones(60, bool), percent)
+        parent = list(range(60))
+
+        def find(x, parent=parent):
+            return x if parent[x] == x else find(parent[x])
+
+        want = [(i, j) for i in range(30) for j in range(30, 60) if linked(len(set(paths[i]) & set(paths[j])), len(paths[i]), len(paths[j]), percent)]
+        assert set(found) <= set(want)
+        for i, j in found:
+            assert find(i) != find(j)
+            parent[find(i)] = find(j)
+        assert all(find(i) == find(j) for i, j in want)
