@@ -189,3 +189,49 @@ def test_trie_against_all_pairs():
             assert find(i) != find(j)
             parent[find(i)] = find(j)
         assert all(find(i) == find(j) for i, j in want)
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    """Each row by its own lines; rows without doc_id neither hold nor lose lines."""
+    line = "a line that three documents share"
+    rows = [(1, line + "\nuniq a"), (1, "keep me first line that is unique\nother"), (2, line), (3, "x\n " + line.upper() + "\t"), (None, line), (0, "only two hold this line of text"), (None, "only two hold this line of text"), (4, "only two hold this line of text\n")]
+    got = sorted((r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([rows[3][1], rows[1][1], "uniq a", "", line, rows[5][1], rows[6][1], rows[7][1]])
+    report = line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in report if r.doc_id is not None) == [(0, 1, 0), (1, 2, 0), (1, 2, 1), (2, 1, 1), (3, 2, 0), (4, 2, 0)]
+
+
+def test_line_batches(spark, docs):
+    """Any number of batches and any fanout give the same; a key's keeper is decided where it was fresh."""
+    from pyspark.sql import functions as F
+
+    from gleaner.llm.line_dedup import LineRuns
+    from gleaner.workspace import Workspace
+
+    rows, df = docs
+    want = {d: (n, m, brute.sha(t)) for d, (n, m, t) in brute.line_dedup(rows).items()}
+    for batches, fanout in ((1, 2), (7, 2), (5, 9)):
+        assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_report(df, batches=batches, fanout=fanout).collect()} == want
+    store = LineRuns(Workspace(spark, "t"), fanout=2)
+    lines = spark.createDataFrame([(d, k, k, True) for d, k in [(9, 1), (8, 1), (6, 1), (6, 2), (2, 2), (2, 1), (1, 3)]], "doc_id long, k1 long, k2 long, first boolean")
+    for low, high in ((8, 9), (6, 6), (1, 2)):
+        store.add(lines.filter(F.col("doc_id").between(low, high)))
+    assert sorted((r.k1, r.docs, r.keeper) for r in store.close(1).collect()) == [(1, 4, 9), (2, 2, 6), (3, 1, 1)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gleaner_run")]
+
+
+def test_lines_of_a_chunk():
+    import numpy as np
+    import pyarrow as pa
+
+    from gleaner.llm.line_dedup import long_lines
+    from gleaner.llm.textkernel import chunks
+
+    texts = ["", "abc\n\n abc \nab", "\n", "é\n", "x", "abc\nABC", "\n\nabc"]
+    for limit in (1, 10, 1 << 20):
+        got = []
+        for c in chunks(pa.array(texts), lower=True, limit=limit):
+            row, line, k1, _, first = long_lines(c, 1)
+            got += list(zip((row + c.first).tolist(), line.tolist(), first.tolist()))
+        assert got == [(1, 0, True), (1, 2, False), (1, 3, True), (3, 0, True), (4, 0, True), (5, 0, True), (5, 1, False), (6, 2, True)]
+    assert np.all([len(long_lines(c, 3)[0]) == 5 for c in chunks(pa.array(texts), lower=True)])
