@@ -1,13 +1,14 @@
 """URL rules by a sort-merge range join.
 
-The canonical key of a url is its host's labels reversed, each followed by a comma, then a separator and the path, so
-the urls of a host and its subdomains are one interval of keys that begins at the rule's key. Urls are dealt to key
+The canonical key of a url is its host's labels reversed, each followed by a dot (which no label holds), then a
+separator and the path, so the urls of a host and its subdomains are one interval of keys that begins at the rule's key. Urls are dealt to key
 ranges, whose borders come from a bounded sample of keys and only decide where rows go; a rule goes to every range
 that its interval meets. Each range is sorted and swept once with a stack of the active nested rule hosts; of the
 fitting rules the longest (host and path) wins, then the one with the longer host, then the smaller text.
 
 Urls and page_ids are compared together at the borders, so equal urls of a hot host are split too. Defined results:
-NULL urls and urls without ``://`` have an empty host and path and match no rule; repeated rows stay; an empty table
+NULL urls and urls without ``://`` have an empty host and path and match no rule; a NULL page_id is passed on; hosts may
+hold any characters; repeated rows stay; an empty table
 gives an empty result; an empty rule table leaves every url to the default; other columns are ignored.
 """
 
@@ -25,8 +26,6 @@ from gleaner.workspace import shuffle_width
 
 #: Below every character of a host label.
 END = "\x00"
-#: Above every key that begins with a prefix.
-TOP = "\U0010ffff"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UP, _LOW)
 
@@ -42,7 +41,12 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def host_key(host: str) -> str:
-    return "".join(f"{x}," for x in reversed(host.split(".")))
+    return "".join(f"{x}." for x in reversed(host.split(".")))
+
+
+def key_after(key: str) -> str:
+    """The smallest key above all that begin with a host's key: the closing dot gives way to the next character."""
+    return key[:-1] + "/"
 
 
 class _Rules:
@@ -111,7 +115,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
             for host, path, verdict in zip(*(b.column(c).to_pylist() for c in ("host", "path", "verdict")), strict=True):
                 host, path = (host or "").translate(_FOLD), path or ""
                 key = host_key(host)
-                first, last = bisect_left(borders, (key, -(2**63))), bisect_left(borders, (key + TOP, 2**63))
+                first, last = bisect_left(borders, (key, -(2**63))), bisect_left(borders, (key_after(key), -(2**63)))
                 out += [(p, key, 0, None, host, path, host + path, verdict) for p in range(max(0, first - 1), last + 1)]
             yield _batch(out)
 
