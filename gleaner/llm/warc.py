@@ -8,8 +8,9 @@ required headers, Content-Length against the block, the trailing blank lines, an
 revisits that carry the payload's digest and length but not the payload. Archives are rows of a binary table in the
 shared folder, so any store that Spark reaches holds them; ``write_files`` and ``read_files`` handle real files.
 
-Defined results: NULL html is the empty payload and NULL url the empty target; rows with equal page_id are records of
-their own (of equal payloads and page_ids all are responses); an empty table gives an empty result; other columns are
+Defined results: NULL html is the empty payload and NULL url the empty target, whose line ends are percent-encoded; rows
+with equal page_id are records of their own (of equal payloads and page_ids all are responses); a row without page_id
+is a record without one, which revisits the largest page_id that has its payload and else is a response; an empty table gives an empty result; other columns are
 ignored. A damaged archive raises WarcError that names the record.
 """
 
@@ -41,14 +42,21 @@ class WarcError(ValueError):
     pass
 
 
-def record_urn(page_id: int) -> str:
-    """A version 8 UUID that holds the 64 bits of the id."""
+_NO_ID = 1 << 16
+
+
+def record_urn(page_id: int | None) -> str:
+    """A version 8 UUID that holds the 64 bits of the id, or a mark that there is none."""
+    if page_id is None:
+        return f"<urn:uuid:{uuid.UUID(int=(8 << 76) | (2 << 62) | _NO_ID)}>"
     n = page_id & (2**64 - 1)
     return f"<urn:uuid:{uuid.UUID(int=(n >> 16 << 80) | (8 << 76) | (2 << 62) | (n & 0xFFFF))}>"
 
 
-def page_of_urn(urn: str) -> int:
+def page_of_urn(urn: str) -> int | None:
     n = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int
+    if n & _NO_ID:
+        return None
     n = (n >> 80) << 16 | n & 0xFFFF
     return n - 2**64 if n >> 63 else n
 
@@ -57,7 +65,7 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def build_record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def build_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     target = url.replace("\r", "%0D").replace("\n", "%0A").encode()
@@ -121,7 +129,8 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise WarcError(f"not a header: {line[:40]!r}")
-        fields[k.decode().lower()] = v.strip().decode()
+        name = k.decode().lower()
+        fields[name] = (v.removeprefix(b" ") if name == "warc-target-uri" else v.strip()).decode()
     for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in fields:
             raise WarcError(f"{need} is missing")
@@ -190,7 +199,7 @@ def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0, archive_bytes: i
     mark = F.when(F.octet_length("html") >= min_revisit_bytes, F.unhex(F.sha1("html")))
     rows = rows.withColumn("mark", mark)
     equal = work.stash(rows.filter("mark is not null").groupBy("mark").agg(F.count("*").alias("copies"), F.max("page_id").alias("keeper")).filter("copies > 1"), "equal")
-    judged = join_counted(rows, equal, ["mark"], "copies", F.col("page_id"), "left")
+    judged = join_counted(rows, equal, ["mark"], "copies", F.struct("page_id", "url"), "left")
 
     def of(batches):
         from pyspark import TaskContext
