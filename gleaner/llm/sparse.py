@@ -1,12 +1,20 @@
-"""Screening of hashed presence features on a bounded sample, in blocks of documents."""
+"""Bounded labelled samples, and the screening of their hashed presence features in blocks of documents."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK = 500
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, label): a row for each doc_id of the bounded ``sample``, of repeated rows that with the smallest text hash."""
+    rows = docs.filter("doc_id is not null").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first(label).alias(label))
+
+
 def screened(docs: list[np.ndarray], groups: np.ndarray, dim: int, screen: int, min_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chosen, row, col): the features with the largest chi-square against any column of ``groups`` (documents x
     groups, bool), and the places at which documents have them; ``chosen[col]`` are feature ids."""

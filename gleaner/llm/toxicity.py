@@ -3,12 +3,12 @@
 Features are presence bits of a document's words and word heads (the first 4 and 6 bytes), lower-cased, without
 ASCII punctuation at the ends, hashed to 2**20. The model has one weight a feature, shared by all thresholds:
 P(grade <= k) = sigmoid(theta_k - w x). It is fitted on at most ``max_labelled`` labelled documents, taken in hash
-order, by accelerated proximal gradient with an L1 penalty, after a chi-square screen of the features; this bound is
-the only one. Every document is then scored whole: severity is the expected grade.
+order, by accelerated proximal gradient with an L1 penalty on the ``screen`` (4096) features of largest chi-square; these
+bounds of the fit are the only ones. Every document is then scored whole: severity is the expected grade.
 
 ``labels`` has two marks, so grades are: 0 not toxic, 1 toxic, 2 toxic and of low quality. Defined results: NULL and
 empty texts have the severity of a text without features; labels that are NULL, contradictory repeats (the largest
-grade counts) or of unknown documents do no harm; with fewer than two grades in the sample all scores are 0; repeated
+grade counts) or of unknown documents do no harm; a labelled doc_id with several rows counts with one of their texts; with fewer than two grades in the sample all scores are 0; repeated
 rows score alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.sparse import largest_eigenvalue, screened
+from gleaner.llm.sparse import labelled_texts, largest_eigenvalue, screened
 from gleaner.llm.textkernel import Chunk, bare_words, chunks
 from gleaner.operators.sampling import hash_sample
 
@@ -60,12 +60,6 @@ def fit_ordinal(docs: list[np.ndarray], grade: np.ndarray, grades: int, l1: floa
     m = len(chosen)
     step = 1 / max(0.25 * (grades - 1) * largest_eigenvalue(row, col, n, m), 1e-9)
     w, z, t = np.zeros(m), np.zeros(m), 1.0
-    v = np.ones(m)
-    for _ in range(12):  # the largest eigenvalue of X'X / n
-        v = np.bincount(col, np.bincount(row, v[col], n)[row], m)
-        v /= np.linalg.norm(v) or 1
-    size = np.linalg.norm(np.bincount(col, np.bincount(row, v[col], n)[row], m)) / n
-    step = 1 / max(0.25 * (grades - 1) * size, 1e-9)
     for _ in range(steps):
         s = np.bincount(row, z[col], n)
         # d NLL / d s and / d theta of P(k) = sigmoid(theta_k - s) - sigmoid(theta_{k-1} - s)
@@ -91,8 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **settin
     """``docs``: doc_id, text; ``labels``: doc_id, toxic, quality."""
     graded = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long")).agg(
         F.max(F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)).alias("grade"))
-    some = hash_sample(graded, ["doc_id"], max_labelled)
-    rows = docs.filter("doc_id is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "grade")
+    rows = labelled_texts(docs, hash_sample(graded, ["doc_id"], max_labelled), "grade")
 
     def features(batches):
         for b in batches:
