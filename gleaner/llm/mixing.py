@@ -1,19 +1,22 @@
 """Soft-membership mixing: nonnegative document rates whose expected domain token totals match targets.
 
-1. A softmax classifier of the domains is fitted on at most ``max_labelled`` labelled documents in hash order (its only
-   bound): presence bits of words, word heads and word tails, screened by chi-square, L1 penalty, accelerated
-   proximal gradient.
+1. A softmax classifier of the domains is fitted on at most ``max_labelled`` labelled documents in hash order: presence
+   bits of words, word heads and word tails, the ``screen`` (4096) of largest chi-square, L1 penalty, accelerated
+   proximal gradient. These two bounds of the fit are its only ones.
 2. One pass over all whole texts gives each document's tokens n_i and posteriors p_ik.
-3. Distributed projected gradient for least squares: with a_k = sum r_i n_i p_ik / sum n_i, minimise the squared
-   distance of a to the target weights over r >= 0, from r = 1, with Nesterov's momentum. The metric weights
-   each rate by its tokens, so a step is r_i <- max(0, z_i - step * p_i . (a - target)). A document's rate therefore
+3. Distributed projected gradient for least squares: with a_k = sum r_i n_i p_ik / sum n_i, minimise the squares of
+   a - target, each over the domain's own share (a at r = 1), over r >= 0, from r = 1, with Nesterov's momentum. The
+   metric weights each rate by its tokens, so a step is r_i <- max(0, z_i - p_i . ((a - target) / share)), and no
+   eigenvalue of the problem is above 1; rare domains go as fast as large ones. A document's rate therefore
    follows from the errors of all steps so far, a few numbers: tasks replay them on their (n, p) columns and
    return one sum a domain. No rate is stored or shuffled until the last step.
 
-Ends when all totals are within ``tolerance`` of the target weights, or after ``max_steps``; a target that no
-document can serve is approached as far as the steps go. Defined results: NULL and empty texts have no tokens, the
+Ends when all totals are within ``tolerance`` of the target weights, when they no longer move (targets that the
+documents can't serve: the rates are then the nearest found), or after ``max_steps``. The column ``residual`` tells the
+largest distance of a total from its target, so targets are met where it is at most ``tolerance``. Targets must not be
+negative or all 0 (ValueError). Defined results: NULL and empty texts have no tokens, the
 posteriors of a text without features and the rate these give; without labels posteriors are uniform; a labelled
-document with several domains counts in the smallest named; repeated rows are documents of their own; an empty table
+document with several domains counts in the smallest named, one with several rows with one of their texts; repeated rows are documents of their own; an empty table
 gives an empty result; other columns are ignored by ``mixture`` and kept by ``mix_documents``.
 """
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.sparse import largest_eigenvalue, screened
+from gleaner.llm.sparse import labelled_texts, largest_eigenvalue, screened
 from gleaner.llm.textkernel import Chunk, chunks
 from gleaner.operators.sampling import hash_sample
 from gleaner.workspace import Workspace, fresh_name
@@ -93,8 +96,7 @@ def fit_softmax(docs: list[np.ndarray], domain: np.ndarray, k: int, l1: float =
 def train(docs: DataFrame, labelled: DataFrame, names: list[str], max_labelled: int, **settings) -> Softmax:
     """``labelled``: doc_id, domain (one of ``names``)."""
     known = labelled.filter(F.col("domain").isin(names) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long")).agg(F.min("domain").alias("domain"))
-    some = hash_sample(known, ["doc_id"], max_labelled)
-    rows = docs.filter("doc_id is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "domain")
+    rows = labelled_texts(docs, hash_sample(known, ["doc_id"], max_labelled), "domain")
 
     def features(batches):
         for b in batches:
@@ -108,12 +110,12 @@ def train(docs: DataFrame, labelled: DataFrame, names: list[str], max_labelled:
     return fit_softmax([np.frombuffer(r.ids, np.int32) for r in found], np.array([names.index(r.domain) for r in found], np.int64), len(names), **settings)
 
 
-def replay(p: np.ndarray, errors: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
+def replay(p: np.ndarray, errors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(rates, points at which the next error is measured) of documents with posteriors ``p`` after all errors so far."""
     r = z = np.ones(len(p))
     t = 1.0
     for e in errors:
-        nxt = np.maximum(z - step * (p @ e), 0)
+        nxt = np.maximum(z - p @ e, 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         r, z, t = nxt, np.maximum(nxt + (t - 1) / t2 * (nxt - r), 0), t2
     return r, z
@@ -123,8 +125,8 @@ def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def fit_rates(soft: DataFrame, target: np.ndarray, tolerance: float, max_steps: int, step: float = 1.0) -> list[np.ndarray]:
-    """The errors of all steps; ``soft``: n_tokens, p."""
+def fit_rates(soft: DataFrame, target: np.ndarray, tolerance: float, max_steps: int) -> tuple[list[np.ndarray], float]:
+    """The errors of all steps over the domains' shares, and the largest distance that is left; ``soft``: n_tokens, p."""
     k = len(target)
 
     def sums(errors):
@@ -132,7 +134,7 @@ def fit_rates(soft: DataFrame, target: np.ndarray, tolerance: float, max_steps:
             total, at_rate, n = np.zeros(k), np.zeros(k), 0
             for b in batches:
                 p, size = _matrix(b, k), b.column("n_tokens").to_numpy()
-                r, z = replay(p, errors, step)
+                r, z = replay(p, errors)
                 total += (size * z) @ p
                 at_rate += (size * r) @ p
                 n += int(size.sum())
@@ -143,22 +145,28 @@ def fit_rates(soft: DataFrame, target: np.ndarray, tolerance: float, max_steps:
         return [np.sum([r[i] for r in rows], axis=0) / n if n else target for i in (0, 1)]
 
     errors: list[np.ndarray] = []
+    still, last, share = 0, np.full(k, np.inf), None
     while True:
         at_point, at_rate = sums(errors)
-        if np.abs(at_rate - target).max() <= tolerance or len(errors) >= max_steps:
-            return errors
-        errors.append(at_point - target)
+        share = share if errors else np.maximum(at_rate, 1e-6)
+        left = float(np.abs(at_rate - target).max())
+        still = still + 1 if np.abs(at_rate - last).max() < tolerance / 1000 else 0
+        if left <= tolerance or still == 3 or len(errors) >= max_steps:
+            return errors, left
+        errors.append((at_point - target) / share)
+        last = at_rate
 
 
-def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_labelled: int = 8000, tolerance: float = 1e-3, max_steps: int = 60, **settings) -> DataFrame:
-    """Per document: doc_id, n_tokens, p (a posterior for each name of ``targets`` in order), rate."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "mixing")
+def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_labelled: int = 8000, tolerance: float = 1e-3, max_steps: int = 300, **settings) -> DataFrame:
+    """Per document: doc_id, n_tokens, p (a posterior for each name of ``targets`` in order), rate, residual."""
     names = list(targets)
     target = np.array(list(targets.values()), float)
+    if not (np.isfinite(target).all() and (target >= 0).all() and target.sum() > 0):
+        raise ValueError("targets must be weights of at least 0, and not all 0")
     target = target / target.sum()
+    work = Workspace(docs.sparkSession, "mixing")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sent = spark.sparkContext.broadcast(train(docs, labelled, names, max_labelled, **settings))
+    sent = work.broadcast(train(docs, labelled, names, max_labelled, **settings))
     k = len(names)
 
     def posteriors(batches):
@@ -170,14 +178,14 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max
                     pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k), pa.int32()), pa.array(p.ravel()))], ["doc_id", "n_tokens", "p"])
 
     soft = work.stash(docs.mapInArrow(posteriors, "doc_id long, n_tokens long, p array<double>"), "posteriors")
-    sent.destroy()
-    errors = fit_rates(soft, target, tolerance, max_steps)
+    work.release()
+    errors, left = fit_rates(soft, target, tolerance, max_steps)
 
     def rated(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(_matrix(b, k), errors, 1.0)[0])], ["doc_id", "n_tokens", "p", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(_matrix(b, k), errors)[0])], ["doc_id", "n_tokens", "p", "rate"])
 
-    return soft.mapInArrow(rated, "doc_id long, n_tokens long, p array<double>, rate double")
+    return soft.mapInArrow(rated, "doc_id long, n_tokens long, p array<double>, rate double").withColumn("residual", F.lit(left))
 
 
 def copies(doc_id: Column, rate: Column) -> Column:

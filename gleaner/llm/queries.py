@@ -69,7 +69,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
     mixed = mixture(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), targets)
-    return mixed.select("doc_id", "n_tokens", *(mixed.p[i].alias(f"p_{name}") for i, name in enumerate(targets)), "rate")
+    return mixed.select("doc_id", "n_tokens", *(mixed.p[i].alias(f"p_{name}") for i, name in enumerate(targets)), "rate", "residual")
 
 
 @_query
