@@ -28,13 +28,14 @@ def cells(keys: np.ndarray, row: int) -> np.ndarray:
 class Marks:
     """What the driver broadcasts: a bitmap for each sketch row and threshold, in zlib-packed pieces until it is used."""
 
-    def __init__(self, thresholds: list[int], rows: int, folds: list[int], pieces: dict[tuple[int, int, int], bytes]):
-        """``pieces``: (threshold's place, row, range) to packed bits; ranges without marks are left out."""
-        self.thresholds, self.rows, self.folds, self.pieces = thresholds, rows, folds, pieces
+    def __init__(self, thresholds: list[int], rows: int, folds: list[int], pieces: dict[tuple[int, int, int], bytes], marked: int = 0):
+        """``pieces``: (threshold's place, row, range) to packed bits; ranges without marks are left out. ``marked``: how
+        many of the sketched keys, repeats included, fell in marked cells of the first threshold and row."""
+        self.thresholds, self.rows, self.folds, self.pieces, self.marked = thresholds, rows, folds, pieces, marked
         self._maps: dict[tuple[int, int], np.ndarray] = {}
 
     def __getstate__(self):
-        return self.thresholds, self.rows, self.folds, self.pieces
+        return self.thresholds, self.rows, self.folds, self.pieces, self.marked
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -110,8 +111,8 @@ def mark_repeated(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
             for at, t in enumerate(thresholds):
                 bits = np.zeros(1 << max(RANGE_BITS - low[at], 3), bool)
                 bits[c[n >= t] >> np.uint32(low[at])] = True
-                found.append((part, at, zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], ["part", "at", "bits"])
+                found.append((part, at, int(n[n >= t].sum()), zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "at", "marked", "bits"])
 
         for b in batches:
             for p, c, n in zip(b.column("part").to_pylist(), b.column("cells"), b.column("counts"), strict=True):
@@ -135,9 +136,10 @@ def mark_repeated(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
 
     width = min(rows * ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = df.mapInArrow(local, "part int, cells binary, counts binary")
-    merged = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, at int, bits binary")
-    pieces = {}
+    merged = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, at int, marked long, bits binary")
+    pieces, marked = {}, 0
     for x in merged.collect():  # packed bitmaps of a fixed total size
         row, b = divmod(x["part"], ranges)
         pieces[x["at"], row, b] = bytes(x["bits"])
-    return Marks(thresholds, rows, folds, pieces)
+        marked += x["marked"] if x["at"] == row == 0 else 0
+    return Marks(thresholds, rows, folds, pieces, marked)

@@ -12,8 +12,11 @@ Two passes over whole texts.
    one entry a block, and no task gathers the occurrences of a window.
 
 Defined results: NULL and empty texts have no words, nothing removed, and the hash of the empty string; repeated
-doc_ids are kept as separate rows, and among equal (doc_id, start) the block order decides; an empty table gives
-an empty result; other columns of the input are ignored. Memory is a few times CHUNK_BYTES or the longest text.
+doc_ids (NULL, the smallest, among them) are kept as separate rows, and of equal (doc_id, start) one alone counts as the
+first, that of the smaller block; an empty table gives an empty result; other columns of the input are ignored. Blocks
+are numbered by task and place, so both scans must see the same rows in the same order: an input that comes from a
+shuffle is written first, and a checksum of each block's entries stops the job where the scans disagree. Memory is a few
+times CHUNK_BYTES or the longest text, and RANGE_BYTES in a hash range.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import sketch
-from gleaner.llm.textkernel import Chunk, chunks, rolling
-from gleaner.workspace import shuffle_width
+from gleaner.llm.textkernel import Chunk, chunks, mix, rolling
+from gleaner.workspace import Workspace, shuffle_width
 
 #: The least number of hash ranges that windows are dealt to; a power of two. There are at least twice as many as
-#: shuffle partitions, so that a range stays small where the session's setting follows the input.
-RANGES = 64
+#: shuffle partitions, and so many that a range holds about RANGE_BYTES by the sketch's own totals.
+RANGES, RANGE_BYTES, ENTRY_BYTES = 64, 64 << 20, 24
 #: log2 of the bits of a merged bitmap: 32 MiB a sketch row.
 FOLD = 28
 _POS = np.uint64((1 << 32) - 1)
@@ -74,8 +77,8 @@ def _kept(chunk: Chunk, row: int, drop: np.ndarray) -> bytes:
     return b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d])
 
 
-_DOCS = "block long, n_entries int, doc_id long, n_words long, sha string, text string, starts binary, entries binary"
-_ASKED = "part int, block long, base int, asked binary"
+_DOCS = "block long, n_entries int, checksum long, doc_id long, n_words long, sha string, text string, starts binary, entries binary"
+_ASKED = "part int, block long, base int, checksum long, asked binary"
 
 
 class _Windows:
@@ -100,6 +103,8 @@ class _Windows:
         self.first_here = np.zeros(len(order), bool)
         self.first_here[self.head] = True
         self.h1, self.h2, self.doc = h1[self.head], h2[self.head], doc[self.row[self.head]]
+        places = (self.row.astype(np.uint64) << np.uint64(32)) + self.at.astype(np.uint64)
+        self.checksum = int((mix(h1 ^ mix(places)) + h2).sum(dtype=np.uint64).astype(np.int64))
 
     def asked(self, ranges: int) -> list[tuple[int, int, bytes]]:
         """(range, index of its first entry, entries) of each range that has any."""
@@ -126,8 +131,8 @@ def _ask(sent, window: int, gram: int, ranges: int):
         for block, _, _, w in _blocks(batches, sent.value, window, gram):
             rows = w.asked(ranges)
             yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
-                pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "block", "base", "asked"])
+                pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+                pa.array([w.checksum] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["part", "block", "base", "checksum", "asked"])
 
     return of
 
@@ -149,9 +154,9 @@ def _documents(sent, window: int, gram: int):
                 starts.append(None if clean else w.at[s:e].astype(np.int32).tobytes())
                 entries.append(None if clean else coded[s:e].tobytes())
             yield pa.RecordBatch.from_arrays([
-                pa.array([block] * c.rows, pa.int64()), pa.array([len(w.h1)] * c.rows, pa.int32()), batch.column("doc_id").slice(c.first, c.rows), pa.array(n_words, pa.int64()),
+                pa.array([block] * c.rows, pa.int64()), pa.array([len(w.h1)] * c.rows, pa.int32()), pa.array([w.checksum] * c.rows, pa.int64()), batch.column("doc_id").slice(c.first, c.rows), pa.array(n_words, pa.int64()),
                 pa.array(sha, pa.string()), pa.array(text, pa.string()), pa.array(starts, pa.binary()), pa.array(entries, pa.binary())],
-                ["block", "n_entries", "doc_id", "n_words", "sha", "text", "starts", "entries"])
+                ["block", "n_entries", "checksum", "doc_id", "n_words", "sha", "text", "starts", "entries"])
 
     return of
 
@@ -174,13 +179,14 @@ def _answer(table: pa.Table) -> pa.Table:
     flag = np.zeros(total, bool)
     flag[order] = first
     bits = [np.packbits(flag[edges[i] : edges[i + 1]]).tobytes() for i in range(len(sizes))]
-    return pa.table({"block": table.column("block"), "base": table.column("base"), "n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary())})
+    return pa.table({"block": table.column("block"), "base": table.column("base"), "checksum": table.column("checksum"), "n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
 def _apply(window: int):
     def of(docs: pa.Table, replies: pa.Table) -> pa.Table:
         total = docs.column("n_entries")[0].as_py() if docs.num_rows else 0
-        if total != sum(replies.column("n").to_pylist()):
+        sums = set(docs.column("checksum").to_pylist()) | set(replies.column("checksum").to_pylist())
+        if total != sum(replies.column("n").to_pylist()) or len(sums) > 1:
             raise RuntimeError("the two passes disagree on a block: the input changed between them")
         first = np.zeros(total, bool)
         for base, n, bits in zip(replies.column("base").to_pylist(), replies.column("n").to_pylist(), replies.column("bits"), strict=True):
@@ -208,11 +214,16 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFra
     """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     spark = docs.sparkSession
     gram = min(gram, window)
+    work = Workspace(spark, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if any(x in docs._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "InMemoryTableScan", "ExistingRDD")):
+        docs = work.stash(docs, "documents")
     marks = sketch.mark_repeated(docs.select("text"), _minimizers(window, gram), [2], 2, [FOLD])
-    sent = spark.sparkContext.broadcast(marks)
-    ranges = max(RANGES, 1 << (2 * shuffle_width(spark) - 1).bit_length())
+    sent = work.broadcast(marks)
+    # a minimizer's place stands for at most ``window - gram + 1`` windows
+    entries = marks.marked * (window - gram + 1) * ENTRY_BYTES // RANGE_BYTES
+    ranges = 1 << (max(RANGES, 2 * shuffle_width(spark), entries) - 1).bit_length()
     asked = docs.mapInArrow(_ask(sent, window, gram, ranges), _ASKED)
-    replies = asked.groupBy("part").applyInArrow(_answer, "block long, base int, n int, bits binary")
+    replies = asked.groupBy("part").applyInArrow(_answer, "block long, base int, checksum long, n int, bits binary")
     rows = docs.mapInArrow(_documents(sent, window, gram), _DOCS)
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
