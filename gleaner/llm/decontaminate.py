@@ -15,15 +15,16 @@ pieces that a window can hold, and any piece retrieves its item. For each window
    separate answer column is split at its last quarter of words for the two figures; as that quarter is short and not a
    known answer, such an item also counts where ``question_overlap`` of the trigrams of its whole text occur.
 
-Nothing caps the number of items or windows. Items are indexed in groups of at most ``GROUP`` items; each group is
-broadcast and the texts are scanned once a group, so the broadcast is bounded for a benchmark of any size. Defined results: NULL and wordless
-texts and items match nothing; items of fewer than ``min_words`` words must occur as a whole run of words; repeated
-rows and repeated items give a row each; items of a single word match nothing; empty tables give an empty result; other columns are ignored.
+Nothing caps the number of items or windows. Items are indexed in groups of about ``GROUP`` items, dealt by hash, one
+after the other: a group is collected, broadcast, used for a scan of the texts whose finds are written, and destroyed, so
+the driver holds one group for a benchmark of any size, and the texts are scanned once a group. Defined results: NULL and
+wordless texts and items match nothing; items of fewer than ``min_words`` words, single words among them, must occur as
+a whole run of words; repeated documents give a row each, repeated items count once; empty tables give an empty result;
+other columns are ignored. ``drop_leaking`` judges every row by its own text, also where doc_id is NULL or repeated.
 """
 
 from __future__ import annotations
 
-
 from bisect import bisect_left
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.textkernel import Chunk, bare_words, chunks, rolling
-from gleaner.workspace import fresh_name
+from gleaner.workspace import Workspace, fresh_name
 
 STRIDE, BLOCK_ITEMS, SUPER, GROUP = 64, 16, 64, 20_000
 #: Index terms are runs of so many words: with single words, most windows could hold half of some item's score.
@@ -176,6 +177,7 @@ def _share(part: np.ndarray, window: np.ndarray) -> float:
 class Matcher:
     def __init__(self, items: list[tuple[int, str, str | None]], threshold: float, question_overlap: float, answer_overlap: float, min_words: int):
         self.ids, self.parts, self.undivided = [], [], []
+        self.single: dict[int, list[int]] = {}
         for item_id, question, answer in items:
             q = self._words(question)
             if answer is None:
@@ -187,6 +189,9 @@ class Matcher:
                 self.ids.append(item_id)
                 self.parts.append((q, a))
                 self.undivided.append(answer is None)
+            elif len(q) + len(a):  # too short for a term: the word itself is
+                self.single.setdefault(int(np.concatenate([q, a])[0]), []).append(item_id)
+        self.words = np.array(sorted(self.single), np.uint64)
         self.question_overlap, self.answer_overlap, self.min_words = question_overlap, answer_overlap, min_words
         # an item that is longer than a window can hold is indexed in pieces of about STRIDE words
         pieces, self.owner = [], []
@@ -217,8 +222,13 @@ class Matcher:
     def rows(self, c: Chunk):
         """(row, item_id, score, question overlap, answer overlap): for each row and item the best verified window."""
         words, at = clean_words(c)
+        single = []
+        if len(self.words):
+            hit = np.flatnonzero(np.isin(words, self.words))
+            found = {(int(np.searchsorted(at, i, "right")) - 1, int(words[i])) for i in hit.tolist()}
+            single = [(r, i, 1.0, 1.0, 1.0) for r, w in sorted(found) for i in self.single[w]]
         if not len(self.index.terms):
-            return []
+            return single
         term = self.index.lookup(rolling(words, TERM))
         total = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, self.index.essential[np.maximum(term, 0)], 0))])
         first, row = [], []
@@ -241,42 +251,50 @@ class Matcher:
                 found = self.verify(item, words[max(int(at[r]), a - more) : min(int(at[r + 1]), b + more)])
                 if found and (score, *found) > best.get((r, item), (-1,)):
                     best[r, item] = (score, *found)
-        return [(r, self.ids[i], *x) for (r, i), x in sorted(best.items())]
+        return single + [(r, self.ids[i], *x) for (r, i), x in sorted(best.items())]
 
 
-def leaks(docs: DataFrame, items: DataFrame, question: str = "text", answer: str | None = None, threshold: float = 0.5, question_overlap: float = 0.6, answer_overlap: float = 0.6, min_words: int = 8) -> DataFrame:
-    """One row for each document and test item that it leaks: doc_id, item_id, score, question_overlap, answer_overlap."""
+def _found(docs: DataFrame, items: DataFrame, question: str, answer: str | None, threshold: float, question_overlap: float, answer_overlap: float, min_words: int) -> DataFrame:
+    """Rows of ``leaks`` with ``body``, a hash of the document's text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.coalesce(F.col(question).cast("string"), F.lit("")).alias("q"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a"))
+    work = Workspace(spark, "leaks")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("body"))
+    known = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.coalesce(F.col(question).cast("string"), F.lit("")).alias("q"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a")).distinct()
     groups = max(1, -(-known.count() // GROUP))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    schema = "doc_id long, body long, item_id long, score double, question_overlap double, answer_overlap double"
 
-    def scan(group: DataFrame) -> DataFrame:
+    def scan(group: DataFrame, name: str) -> DataFrame:
         rows = sorted((tuple(r) for r in group.collect()), key=repr)
-        sent = spark.sparkContext.broadcast(Matcher(rows, threshold, question_overlap, answer_overlap, min_words))
+        sent = work.broadcast(Matcher(rows, threshold, question_overlap, answer_overlap, min_words))
 
         def of(batches):
             matcher = sent.value
             for b in batches:
-                ids = b.column("doc_id")
                 for c in chunks(b.column("text"), lower=True):
                     found = matcher.rows(c)
                     if found:
+                        at = pa.array([c.first + f[0] for f in found])
                         yield pa.RecordBatch.from_arrays([
-                            ids.take(pa.array([c.first + f[0] for f in found])), pa.array([f[1] for f in found], pa.int64()),
-                            *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                            b.column("doc_id").take(at), b.column("body").take(at), pa.array([f[1] for f in found], pa.int64()),
+                            *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "body", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        return docs.mapInArrow(of, schema)
+        out = work.stash(docs.mapInArrow(of, schema), name)
+        work.release()
+        return out
 
-    out = scan(known.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == 0) if groups > 1 else known)
+    out = scan(known.filter(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(groups)) == 0) if groups > 1 else known, "found0")
     for g in range(1, groups):
-        out = out.unionByName(scan(known.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)))
+        out = out.unionByName(scan(known.filter(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(groups)) == g), f"found{g}"))
     return out
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, question: str = "text", answer: str | None = None, threshold: float = 0.5, question_overlap: float = 0.6, answer_overlap: float = 0.6, min_words: int = 8) -> DataFrame:
+    """One row for each document and test item that it leaks: doc_id, item_id, score, question_overlap, answer_overlap."""
+    return _found(docs, items, question, answer, threshold, question_overlap, answer_overlap, min_words).drop("body")
+
+
+def drop_leaking(docs: DataFrame, items: DataFrame, question: str = "text", answer: str | None = None, threshold: float = 0.5, question_overlap: float = 0.6, answer_overlap: float = 0.6, min_words: int = 8) -> DataFrame:
     """The rows of ``docs`` that leak no test item, all columns as they are."""
-    name = fresh_name("_bad", docs.columns)
-    bad = leaks(docs, items, **settings).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    doc, body = fresh_name("_doc", docs.columns), fresh_name("_body", docs.columns)
+    bad = _found(docs, items, question, answer, threshold, question_overlap, answer_overlap, min_words).select(F.col("doc_id").alias(doc), F.col("body").alias(body)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(body)), "left_anti")
