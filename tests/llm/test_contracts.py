@@ -235,3 +235,36 @@ def test_lines_of_a_chunk():
             got += list(zip((row + c.first).tolist(), line.tolist(), first.tolist()))
         assert got == [(1, 0, True), (1, 2, False), (1, 3, True), (3, 0, True), (4, 0, True), (5, 0, True), (5, 1, False), (6, 2, True)]
     assert np.all([len(long_lines(c, 3)[0]) == 5 for c in chunks(pa.array(texts), lower=True)])
+
+
+def test_odd_urls(spark):
+    """Commas, NUL and the largest characters in hosts, NULL page_ids, a very long url."""
+    urls = ["http://example,foo.net/en/x", "http://a,net/", "http://net\x00/", "http://x.net\x00.net/en/", "http://\U0010ffff.example.net/en/", "http://example.net./en/", "http://.net/", "http:///en/", "http://org/fr/" + "é" * 200_000, "http://" + "a." * 5000 + "example.com/de/"]
+    pages = spark.createDataFrame([(i if i % 3 else None, u) for i, u in enumerate(urls)] * 2, "page_id long, url string").repartition(3)
+    rules = [*queries.URL_RULES, ("net\x00", "/", "allow"), ("\U0010ffff.example.net", "/en/", "block"), ("example,foo.net", "/zz", "allow")]
+    got = sorted((repr((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()))
+    want = []
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1]
+        host, path = rest.split("/")[0].translate(brute.FOLD), rest[len(rest.split("/")[0]) :]
+        fits = [x for x in rules if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])]
+        best = max(fits, key=lambda x: (len(x[0] + x[1]), len(x[0])), default=None)
+        want += [repr((i if i % 3 else None, host, path, best and best[0] + best[1], best[2] if best else "allow"))] * 2
+    assert got == sorted(want)
+
+
+def test_warc_null_ids_and_urls(spark):
+    rows = [(None, " http://edge/ ", "same"), (7, "http://x/", "same"), (3, None, "same"), (None, "a", "only nulls"), (None, "b", "only nulls"), (None, "c", "lone"), (-5, "d", None)]
+    out = read_pages(archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    got = sorted(((r.page_id, r.url, r.record_type, r.refers_to) for r in out), key=repr)
+    assert got == sorted([(None, " http://edge/ ", "revisit", 7), (7, "http://x/", "response", None), (3, "", "revisit", 7), (None, "a", "response", None), (None, "b", "response", None), (None, "c", "response", None), (-5, "d", "response", None)], key=repr)
+
+
+def test_substring_of_shuffled_and_repeated_rows(spark, docs):
+    rows, df = docs
+    want = brute.substring_dedup(rows)
+    shuffled = df.repartition(7, "text").orderBy("rate", "text")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(shuffled).collect()} == want
+    text = " ".join(f"w{i}" for i in range(25))
+    same_id = spark.createDataFrame([(1, text), (1, text), (1, "x " + text), (None, text)], "doc_id long, text string").repartition(2)
+    assert sorted(r.n_removed for r in substring_dedup(same_id).collect()) == [0, 25, 25, 25]

@@ -104,14 +104,17 @@ def test_mixing(spark, corpus):
     n, p, r = (np.array([x[c] for x in out]) for c in ("n_tokens", "p", "rate"))
     assert len(out) == len(rows) - 1 and (r >= 0).all() and np.abs(p.sum(axis=1) - 1).max() < 1e-9
     assert np.abs((n * r) @ p / n.sum() - list(targets.values())).max() < 1e-3
-    # the same iteration on whole arrays
-    errors, target = [], np.array(list(targets.values()))
-    while True:
-        rate, z = mixing.replay(p, errors, 1.0)
-        if np.abs((n * rate) @ p / n.sum() - target).max() <= 1e-4 or len(errors) >= 60:
-            break
-        errors.append((n * z) @ p / n.sum() - target)
-    assert np.abs(rate - r).max() < 1e-6
+    assert max(x.residual for x in out) <= 1e-4
+    # the least squares' own conditions: no gradient along a positive rate, none that would raise a rate of 0
+    unreachable = mixing.mixture(docs.filter("doc_id % 5 <> 0 and doc_id < 400"), mixing.label_domains(labels), {"clean": 0.5, "toxic": 0.5}).collect()
+    n, p, r = (np.array([x[c] for x in unreachable]) for c in ("n_tokens", "p", "rate"))
+    left = (n * r) @ p / n.sum() - 0.5
+    assert abs(unreachable[0].residual - np.abs(left).max()) < 1e-6 and unreachable[0].residual > 0.1
+    slope = p @ (left / (n @ p / n.sum()))
+    assert (slope > -5e-3).all() and np.abs(slope[r > 1e-3]).max() < 5e-3
+    for bad in ({"clean": 0, "toxic": 0}, {"clean": -1, "toxic": 2}):
+        with pytest.raises(ValueError):
+            mixing.mixture(docs, mixing.label_domains(labels), bad)
     mixed = mixing.mix_documents(docs, mixing.label_domains(labels), targets)
     assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars", "rate", "copies"] and mixed.filter("copies < 1").count() == 0
     assert mixing.mixture(docs.filter("false"), mixing.label_domains(labels), targets).count() == 0
@@ -145,12 +148,14 @@ def test_leaks(spark):
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, make(30)) for i in range(50)] + [(100, None), (101, ""), (102, "tiny item here"), (103, make(300)), (104, "one")]
     by = dict(items)
-    docs = [(0, None), (1, ""), (2, make(200)), (3, make(63) + " " + by[7] + " " + make(90)), (4, by[9].upper().replace(" ", ", ") + "***"), (5, "x tiny item here y"), (6, make(40) + " " + by[103] + " z"), (7, " ".join(by[3].split()[:12]))]
+    docs = [(0, None), (1, ""), (2, make(200)), (3, make(63) + " " + by[7] + " " + make(90)), (4, by[9].upper().replace(" ", ", ") + "***"), (5, "x tiny item here y"), (6, make(40) + " " + by[103] + " z"), (8, "there is ONE, here"), (None, by[11]), (None, "nothing of them"), (7, " ".join(by[3].split()[:12]))]
     df = spark.createDataFrame([(*d, 1.0) for d in docs], "doc_id long, text string, score double")
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, q string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
-    assert got == {(3, 7), (4, 9), (5, 102), (6, 103)}
-    assert {r.doc_id for r in decontaminate.drop_leaking(df, bench).collect()} == {0, 1, 2, 7}
+    assert got == {(3, 7), (4, 9), (5, 102), (6, 103), (8, 104), (None, 11)}
+    kept = [(r.doc_id, r.text) for r in decontaminate.drop_leaking(df, bench).collect()]
+    assert sorted(kept, key=repr) == sorted([d for d in docs if d[0] in (0, 1, 2, 7) or d[1] == "nothing of them"], key=repr)
+    assert decontaminate.leaks(df, bench.union(bench)).count() == len(got)
     assert decontaminate.leaks(df.filter("false"), bench).count() == 0 and decontaminate.leaks(df, bench.filter("false")).count() == 0
     decontaminate.GROUP, held = 7, decontaminate.GROUP
     try:
