@@ -35,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = fresh_name("_gone", docs.columns)
-    gone = jaccard_classes(docs, n=5, percent=80).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    classes = jaccard_classes(docs, n=5, percent=80).filter("doc_id is not null")  # of rows with equal doc_id one is enough to stay
+    gone = classes.groupBy(F.col("doc_id").alias(name)).agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone")).filter("gone").select(name)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
