@@ -268,9 +268,9 @@ def _cuts(scores: DataFrame, good: DataFrame, code: Column, quantile: float, mar
     return work.stash(out.select("code", "docs", *(F.coalesce(c, f"all_{c}").alias(c) for c in names)), "cuts")
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 0.05, prior: float = 100.0) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 0.05, prior: float = 100.0, batches: int = 4) -> DataFrame:
     """Per document: doc_id, lang, n_symbols, perplexity and threshold of the word model (both shrunk, a symbol), the
-    same of the symbol model, keep."""
+    same of the symbol model, keep. Documents are scored in ``batches`` by hash, so that fewer n-grams are on disk at once."""
     spark = docs.sparkSession
     work = Workspace(spark, "kneser-ney")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
@@ -288,7 +288,10 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, ma
         return docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), *none, F.lit(True).alias("keep"))
     sent = work.broadcast(model)
     tables = fit_words(train, sent, work, "trusted")
-    scores = work.stash(word_costs(docs, sent, tables, known_grams(tables, work)), "scores")
+    maybe, scores = known_grams(tables, work), None
+    for b in range(batches):  # what a batch shuffles is gone before the next
+        part = work.stash(word_costs(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == b), sent, tables, maybe), f"scores{b}")
+        scores = part if scores is None else scores.unionByName(part)
     work.discard("words", "shards")
     work.release()
     code = F.coalesce("lang", F.lit(""))

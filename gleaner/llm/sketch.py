@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from gleaner.workspace import shuffles_removed
 
 #: 2**CELL_BITS cells a sketch row, in ranges of 2**RANGE_BITS.
 CELL_BITS, RANGE_BITS = 32, 24
@@ -138,7 +139,9 @@ def mark_repeated(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
     sent = df.mapInArrow(local, "part int, cells binary, counts binary")
     merged = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, at int, marked long, bits binary")
     pieces, marked = {}, 0
-    for x in merged.collect():  # packed bitmaps of a fixed total size
+    with shuffles_removed(df.sparkSession):
+        found = merged.collect()
+    for x in found:  # packed bitmaps of a fixed total size
         row, b = divmod(x["part"], ranges)
         pieces[x["at"], row, b] = bytes(x["bits"])
         marked += x["marked"] if x["at"] == row == 0 else 0

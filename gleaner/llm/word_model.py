@@ -13,7 +13,9 @@ into hash shards by the n-gram's last word; nobody holds more than a shard, and
 3. Chunks of documents send their distinct n-grams, with documents and counts, to the shards; each shard sends back one
    sum a document. A bitmap of fixed size leaves out most n-grams that no table has; it changes no result.
 
-Hashes of 64 bits stand for n-grams. Deltas are whole steps of 1/FINE bit, so sums don't depend on their order.
+Hashes of 64 bits stand for words while pairs are counted, then hashes of 48 bits for n-grams: an n-gram that the tables
+lack is taken for one of theirs in one of 2**48 / size cases. Deltas are whole steps of 1/FINE bit, so sums don't depend
+on their order.
 """
 
 from __future__ import annotations
@@ -36,8 +38,12 @@ FLUSH = 2_000_000  # n-grams that a task holds
 MAP_BITS = 27
 
 
+def word_key(w: np.ndarray) -> np.ndarray:
+    return w >> np.uint64(16)
+
+
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
+    return word_key(mix(v * np.uint64(0x9E3779B97F4A7C15) + w))
 
 
 def shard_of(word: np.ndarray, shards: int) -> np.ndarray:
@@ -87,9 +93,14 @@ def transitions(c: Chunk, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _pack(*arrays) -> bytes:
-    """Hashes and floats as they are, other integers in the fewest bytes and zlib-packed; ``_unpack`` gives them as int64."""
+    """Hashes and floats as they are (sorted keys of 48 bits in little more than 4 bytes), other integers in the fewest
+    bytes and zlib-packed; ``_unpack`` gives them as int64."""
     out = []
     for a in arrays:
+        if isinstance(a, np.ndarray) and a.dtype == np.uint64 and len(a) and int(a.max()) < 1 << 48:
+            high = np.diff((a >> np.uint64(32)).astype(np.uint16), prepend=np.uint16(0))
+            out.append(("key", zlib.compress(high.tobytes(), 1), a.astype(np.uint32).tobytes()))
+            continue
         if isinstance(a, np.ndarray) and a.dtype.kind in "iu" and a.dtype != np.uint64:
             low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
             kind = next(t for t in (np.uint8, np.uint16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
@@ -99,8 +110,13 @@ def _pack(*arrays) -> bytes:
     return pickle.dumps(out, 5)
 
 
+def _keys(high: bytes, low: bytes) -> np.ndarray:
+    top = np.cumsum(np.frombuffer(zlib.decompress(high), np.uint16), dtype=np.uint16)
+    return top.astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32)
+
+
 def _unpack(blob) -> list:
-    return [np.frombuffer(zlib.decompress(a[1]), a[0]).astype(np.int64) if isinstance(a, tuple) else a for a in pickle.loads(blob)]
+    return [a if not isinstance(a, tuple) else _keys(*a[1:]) if a[0] == "key" else np.frombuffer(zlib.decompress(a[1]), a[0]).astype(np.int64) for a in pickle.loads(blob)]
 
 
 def _shrunk(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +199,7 @@ class WordTables:
             word, n, cost, key, ratio, context, back = _unpack(blob)
             p = (n - d[np.minimum(n, 3)]) / total + escape * 2.0 ** -(cost / UNIT)
             own = -np.log2(p) - cost / UNIT + np.log2(escape)
-            pair = -np.log2(1 + ratio / np.repeat(p, n))
+            pair = -np.log2(1 + 2.0 ** (ratio / FINE) / np.repeat(p, n))
             keys, where = np.unique(np.concatenate([word, context]), return_inverse=True)
             single = np.bincount(where, np.concatenate([own, back]), len(keys))
             keys, value = np.concatenate([keys, key]), np.rint(np.concatenate([single, pair]) * FINE).astype(np.int32)
@@ -258,9 +274,10 @@ def fit_words(trusted: DataFrame, sent, work: Workspace, stashed: str | None = N
                 if len(v):
                     at, cut = np.cumsum(k) - k, d_pair[np.minimum(n, 3)]
                     free, all_ = np.add.reduceat(cut, at), np.add.reduceat(n, at)
-                    held.append((w, pair_key(np.repeat(v, k), w), ((n - cut) / np.repeat(free, k)).astype(np.float32)))
+                    ratio = np.maximum((n - cut) / np.repeat(free, k), 2.0**-60)
+                    held.append((w, pair_key(np.repeat(v, k), w), np.rint(np.log2(ratio) * FINE).astype(np.int32)))
                     size += len(w)
-                    yield _records([(shard, 1, _pack(v, -np.log2(free / all_)))])
+                    yield _records([(shard, 1, _pack(word_key(v), -np.log2(free / all_)))])
                 yield _records([(shard, 2, _pack(word, s))])
                 if size > FLUSH:
                     yield emit()
@@ -272,7 +289,7 @@ def fit_words(trusted: DataFrame, sent, work: Workspace, stashed: str | None = N
         def all_of(kind, *types):
             return [np.concatenate(x) for x in zip(*map(_unpack, held[kind]), strict=True)] if kind in held else [np.zeros(0, t) for t in types]
 
-        parts = [(np.repeat(w, k), key, ratio) for w, k, key, ratio in map(_unpack, held.get(0, []))] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.float32))]
+        parts = [(np.repeat(w, k), key, ratio) for w, k, key, ratio in map(_unpack, held.get(0, []))] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         w, key, ratio = (np.concatenate(x) for x in zip(*parts, strict=True))
         context, back = all_of(1, np.uint64, np.float64)
         known, cost = all_of(2, np.uint64, np.int64)
@@ -282,7 +299,7 @@ def fit_words(trusted: DataFrame, sent, work: Workspace, stashed: str | None = N
         n = np.diff(np.append(at, len(w)))
         by = np.argsort(known)
         cost = cost[by][np.searchsorted(known[by], w[at])] if len(at) else cost[:0]
-        return _counted_row(shard, _pack(w[at], n, cost, key[order], ratio[order], context, back), n)
+        return _counted_row(shard, _pack(word_key(w[at]), n, cost, key[order], ratio[order], context, back), n)
 
     second = work.stash(_by_shard(first.select("shard", "blob").mapInArrow(turn, _RECORD), table, _STORED), "words")
     work.discard("pairs")
@@ -298,7 +315,7 @@ def known_grams(tables: WordTables, work: Workspace):
 
     def table_keys(batch):
         for blob in batch.column("blob"):
-            yield deltas(blob.as_py())[0]
+            yield deltas(blob.as_py())[0] << np.uint64(16)
 
     return work.broadcast(sketch.mark_repeated(tables.table.select("blob"), table_keys, [1], 1, [MAP_BITS]))
 
@@ -325,13 +342,13 @@ def word_costs(docs: DataFrame, sent, tables: WordTables, maybe) -> DataFrame:
                     np.diff(at), total[at[1:]] - total[at[:-1]], base)
                 rows = [(chunk % shards, 1, head)]
                 opening = v == START
-                key = np.concatenate([w, v[opening], pair_key(v, w)])
+                key = np.concatenate([word_key(w), word_key(v[opening]), pair_key(v, w)])
                 home = np.concatenate([w, v[opening], w])
                 place = np.concatenate([row, row[opening], row])
-                some = np.flatnonzero(maybe.value.reach(key))
+                some = np.flatnonzero(maybe.value.reach(key << np.uint64(16)))
                 key, place = key[some], place[some].astype(np.uint64)
-                # by key, then document, in one sort; keys alike in all but 16 bits may come in more runs than they must
-                order = np.argsort(key & ~np.uint64(0xFFFF) | place & np.uint64(0xFFFF))
+                # by key, then document, in one sort; documents alike in 16 bits may come in more runs than they must
+                order = np.argsort(key << np.uint64(16) | place & np.uint64(0xFFFF))
                 key, home, place = key[order], home[some[order]], place[order].astype(np.int64)
                 cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])) if len(key) else np.zeros(0, np.int64)
                 times = np.diff(np.append(cut, len(key)))
