@@ -22,6 +22,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,10 +200,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
     doc, body, drop = (fresh_name(x, docs.columns) for x in ("_doc", "_body", "_drop"))
     drops = drops.select(F.col("doc_id").alias(doc), F.col("body").alias(body), F.col("drop").alias(drop))
 
-    @F.pandas_udf("string")
-    def rewrite(text, gone):
-        return text.combine(gone, lambda t, d: _kept(t, d)[2] if d is not None else t)
+    @F.arrow_udf("string")
+    def rewrite(text: pa.Array, gone: pa.Array) -> pa.Array:
+        hit = gone.is_valid()
+        found = [_kept(t.as_py() or "", d.as_py())[2] for t, d in zip(text.filter(hit), gone.filter(hit), strict=True)]
+        return pc.replace_with_mask(text, hit, pa.array(found, text.type))
 
     joined = docs.join(drops, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(body)), "left")
-    new = F.when(F.col(drop).isNull(), F.col("text")).otherwise(rewrite("text", drop))
-    return joined.select(*(new.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return joined.select(*(rewrite(F.col("text").cast("string"), F.col(drop)).alias("text") if c == "text" else F.col(c) for c in docs.columns))

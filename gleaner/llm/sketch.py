@@ -19,7 +19,7 @@ from gleaner.workspace import shuffles_removed
 
 #: 2**CELL_BITS cells a sketch row, in ranges of 2**RANGE_BITS.
 CELL_BITS, RANGE_BITS = 32, 24
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 def cells(keys: np.ndarray, row: int) -> np.ndarray:

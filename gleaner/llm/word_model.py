@@ -34,7 +34,7 @@ from gleaner.workspace import Workspace, shuffle_width
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 FINE = 1000  # steps of a bit in which deltas are stored
-FLUSH = 2_000_000  # n-grams that a task holds
+FLUSH = 1_000_000  # n-grams that a task holds
 MAP_BITS = 27
 
 
