@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python in batches of at most this size, so that long texts don't fill an executor; a smaller setting stays.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,6 +45,9 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+        if not 0 < now <= BATCH_BYTES:
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
         self.path = f"{shared_root(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
         self._sent: list = []
 
