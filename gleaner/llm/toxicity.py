@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.sparse import labelled_texts, largest_eigenvalue, screened
 from gleaner.llm.textkernel import Chunk, bare_words, chunks
 from gleaner.operators.sampling import hash_sample
+from gleaner.workspace import Workspace
 
 DIM_BITS = 20
 HEADS = (4, 6)
@@ -102,9 +103,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **settin
 
 def severities(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, cut: float = 0.4, **settings) -> DataFrame:
     """Per document: doc_id, severity (expected grade), p_toxic (P(grade > 0)), grade (most likely), toxic (p_toxic >= cut)."""
-    spark = docs.sparkSession
+    work = Workspace(docs.sparkSession, "toxicity")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sent = spark.sparkContext.broadcast(train(docs, labels, max_labelled, **settings))
+    sent = work.broadcast(train(docs, labels, max_labelled, **settings))
 
     def score(batches):
         model = sent.value
