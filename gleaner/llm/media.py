@@ -5,7 +5,8 @@ averages exact areas, fractional borders included, from a summed-area table that
 ``difference_hash`` compares neighbours of a 9 x 8 gray tile.
 
 ``text_media`` stores texts as 8-bit graymaps: the UTF-8 bytes, zero-padded to a positive multiple of the width, are
-the samples. The stored images are written to the shared folder, read back, decoded and described. NULL is the empty
+the samples. The stored images are written to the shared folder, read back and decoded; their NPY tiles are written too,
+and the features are those of the tiles read back. NULL is the empty
 text (64 zero bytes); equal texts give equal values; repeated rows stay; an empty table gives an empty result; other
 columns are ignored. A row is handled alone, so memory is a few times the longest text.
 """
@@ -116,15 +117,14 @@ def to_gray(image: np.ndarray) -> np.ndarray:
     return ((image.astype(np.uint32) @ np.array([299, 587, 114], np.uint32) + 500) // 1000).astype(np.uint8)
 
 
-def area_resize(gray: np.ndarray, height: int, width: int, block: int = 1 << 14) -> np.ndarray:
-    """Mean of each target cell's exact area, as float64."""
+def _area_sums(gray: np.ndarray, height: int, width: int, block: int = 1 << 14) -> np.ndarray:
+    """Each target cell's samples weighted by their exact areas, in whole units of 1 / (height * width) of a sample; a cell
+    has gray.size of them."""
     h, w = gray.shape
-    x = np.arange(width + 1) * (w / width)
-    y = np.arange(height + 1) * (h / height)
-    x0 = np.minimum(x.astype(np.int64), w - 1)
-    y0 = np.minimum(y.astype(np.int64), h - 1)
+    x, y = np.arange(width + 1) * w, np.arange(height + 1) * h
+    x0, y0 = np.minimum(x // width, w - 1), np.minimum(y // height, h - 1)
     need = np.unique(np.concatenate([y0, y0 + 1]))
-    lines = np.zeros((len(need), width + 1))
+    lines = np.zeros((len(need), width + 1), np.int64)
     carry = np.zeros(w + 1, np.int64)
     for top in range(0, h, block):
         part = gray[top : top + block]
@@ -133,11 +133,21 @@ def area_resize(gray: np.ndarray, height: int, width: int, block: int = 1 << 14)
         table += carry
         at = (need >= top) & (need <= top + len(part))
         rows = table[need[at] - top]
-        lines[at] = rows[:, x0] + (rows[:, x0 + 1] - rows[:, x0]) * (x - x0)
+        lines[at] = rows[:, x0] * width + (rows[:, x0 + 1] - rows[:, x0]) * (x - x0 * width)
         carry = table[-1].copy()
     a, b = lines[np.searchsorted(need, y0)], lines[np.searchsorted(need, y0 + 1)]
-    whole = a + (b - a) * (y - y0)[:, None]
-    return np.diff(np.diff(whole, axis=0), axis=1) / ((h / height) * (w / width))
+    whole = a * height + (b - a) * (y - y0 * height)[:, None]
+    return np.diff(np.diff(whole, axis=0), axis=1)
+
+
+def area_resize(gray: np.ndarray, height: int, width: int, block: int = 1 << 14) -> np.ndarray:
+    """Mean of each target cell's exact area, as float64."""
+    return _area_sums(gray, height, width, block) / gray.size
+
+
+def area_tile(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The means as uint8, halves rounded up."""
+    return ((2 * _area_sums(gray, height, width) + gray.size) // (2 * gray.size)).astype(np.uint8)
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -151,6 +161,10 @@ def npy_tile(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def read_tile(data: bytes) -> np.ndarray:
+    return np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)
+
+
 def image_tiles(images: DataFrame, column: str = "media", size: tuple[int, int] = TILE) -> DataFrame:
     """Adds height, width, tile (NPY bytes), dhash and media_error (then the others are NULL) to every row."""
     names = images.columns
@@ -161,7 +175,7 @@ def image_tiles(images: DataFrame, column: str = "media", size: tuple[int, int]
             for x in b.column(column):
                 try:
                     image = decode_image(x.as_py() or b"")
-                    tile = np.rint(area_resize(to_gray(image), *size)).astype(np.uint8)
+                    tile = area_tile(to_gray(image), *size)
                     out.append((image.shape[0], image.shape[1], npy_tile(tile), difference_hash(tile), None))
                 except MediaError as e:
                     out.append((None, None, None, None, str(e)))
@@ -190,10 +204,12 @@ def text_images(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, n_bytes long, media binary")
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """Per document the digests of its stored image, of the payload decoded from it, and its difference hash."""
-    work = Workspace(docs.sparkSession, "media")
+def text_tiles(docs: DataFrame, work: Workspace) -> DataFrame:
+    """The written tiles of the stored images: doc_id, n_bytes, tile (NPY bytes), dhash and the digests of the stored form
+    and of the payload decoded from it."""
     stored = work.stash(text_images(docs), "images")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dhash", "tile"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def of(batches):
         for b in batches:
@@ -202,11 +218,28 @@ def text_media(docs: DataFrame) -> DataFrame:
                 raw = media.as_py()
                 image = decode_image(raw)
                 payload = image.tobytes()
-                tile = np.rint(area_resize(to_gray(image), *TILE)).astype(np.uint8)
-                npy = npy_tile(tile)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(tile), hashlib.sha256(npy).hexdigest()))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256")
+                tile = area_tile(to_gray(image), *TILE)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(tile), npy_tile(tile)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", *names])
 
-    return stored.mapInArrow(of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    tiles = stored.mapInArrow(of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary")
+    return work.stash(tiles, "tiles")
+
+
+def text_media(docs: DataFrame) -> DataFrame:
+    """Per document the digests of its stored image, of the payload decoded from it and of its written tile, and the
+    difference hash of that tile as it is read back."""
+    tiles = text_tiles(docs, Workspace(docs.sparkSession, "media"))
+
+    def of(batches):
+        for b in batches:
+            found = []
+            for data, dhash in zip(b.column("tile"), b.column("dhash").to_pylist(), strict=True):
+                feature = difference_hash(read_tile(data.as_py()))
+                if feature != dhash:
+                    raise MediaError("a written tile differs from its difference hash")
+                found.append((feature, hashlib.sha256(data.as_py()).hexdigest()))
+            rest = [b.column(c) for c in b.schema.names if c not in ("dhash", "tile")]
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array([x[i] for x in found], pa.string()) for i in (0, 1))], [*(c for c in b.schema.names if c not in ("dhash", "tile")), "feature", "tile_sha256"])
+
+    return tiles.mapInArrow(of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")

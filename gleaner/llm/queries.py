@@ -143,3 +143,27 @@ edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT b.y, r.c FROM reach r JOIN edges b ON b.x = r.doc_id)
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id
 FROM d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id"""
+
+# the last 64 bytes through the bitwise CRC; exact areas in whole units, halves rounded up; the tile as an NPY file
+ORACLES["op4_media_columns"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+p AS (SELECT *, length(raw) // 2 AS n_bytes, greatest(1, (length(raw) + 127) // 128) AS h FROM d),
+f AS (SELECT doc_id, n_bytes, h, rpad(raw, CAST(h * 128 AS INT), '0') AS full_hex FROM p),
+lines AS (SELECT doc_id, h, j, substr(full_hex, j * 128 + 1, 128) AS line FROM (SELECT *, unnest(range(h)) AS j FROM f)),
+px AS (SELECT doc_id, h, j, list_transform(range(64), lambda i: ('0x' || substr(line, i * 2 + 1, 2))::BIGINT) AS v FROM lines),
+wide AS (SELECT doc_id, h, j, c, list_sum(list_transform(range(64), lambda i: v[i + 1] * greatest(0, least(9 * (i + 1), 64 * (c + 1)) - greatest(9 * i, 64 * c)))) AS s
+         FROM (SELECT *, unnest(range(9)) AS c FROM px)),
+cells AS (SELECT doc_id, h, r, c, sum(s * greatest(0, least(8 * (j + 1), h * (r + 1)) - greatest(8 * j, h * r)))::BIGINT AS t
+          FROM wide, range(8) AS x(r) WHERE 8 * (j + 1) > h * r AND 8 * j < h * (r + 1) GROUP BY ALL),
+tiles AS (SELECT doc_id, list((2 * t + 64 * h) // (128 * h) ORDER BY r, c) AS q FROM cells GROUP BY doc_id),
+bits AS (SELECT doc_id, q, list_transform(range(64), lambda i: CASE WHEN q[i // 8 * 9 + i % 8 + 2] > q[i // 8 * 9 + i % 8 + 1] THEN 1 ELSE 0 END) AS b FROM tiles),
+crc AS (SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], v), lambda a, x:
+               list_reduce(list_concat([xor(a, x)], [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)) AS a
+        FROM px WHERE j = h - 1)
+SELECT f.doc_id, n_bytes::BIGINT AS n_bytes, (64 * h)::BIGINT AS payload_bytes, sha256(unhex(full_hex)) AS payload_sha256, xor(a, 4294967295::BIGINT) AS tail_crc32,
+       octet_length(encode('P5' || chr(10) || '64 ' || h || chr(10) || '255' || chr(10)) || unhex(full_hex)) AS media_bytes,
+       sha256(encode('P5' || chr(10) || '64 ' || h || chr(10) || '255' || chr(10)) || unhex(full_hex)) AS media_sha256,
+       array_to_string(list_transform(range(8), lambda r: printf('%02x', list_sum(list_transform(range(8), lambda i: b[r * 8 + i + 1] * (1 << (7 - i))))::INT)), '') AS feature,
+       sha256(unhex('934E554D505901007600') || encode(rpad('{''descr'': ''|u1'', ''fortran_order'': False, ''shape'': (8, 9), }', 117, ' ') || chr(10))
+              || unhex(array_to_string(list_transform(q, lambda t: printf('%02X', t::INT)), ''))) AS tile_sha256
+FROM f JOIN bits USING (doc_id) JOIN crc USING (doc_id)"""
