@@ -1,12 +1,13 @@
 """Exact duplicates by content hash. Rows: relative_path, split, class, sha256, valid.
 
 Groups are aggregates (partial sums before the shuffle) joined back to the rows, so a content that a third of all
-rows share is split by adaptive execution and never sorted in one task, as a window over it would be.
+rows share is split by adaptive execution and never sorted in one task, as a window over it would be. A row without
+hash is a copy of nothing: it is in no group and is kept. Of rows with equal hash and path one is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.ranking import global_rank
@@ -14,7 +15,7 @@ from gleaner.operators.ranking import global_rank
 
 def groups(rows: DataFrame) -> DataFrame:
     """One row for each content of two or more rows."""
-    return rows.groupBy("sha256").agg(
+    return rows.filter("sha256 is not null").groupBy("sha256").agg(
         F.count("*").alias("group_size"), F.countDistinct("split").alias("n_splits"), F.countDistinct("class").alias("n_classes"),
         F.count_if(F.col("split") == "Training").alias("training_files"), F.count_if(F.col("split") == "Testing").alias("testing_files"),
         F.min("relative_path").alias("first_path"), F.min("split").alias("first_split"),
@@ -45,8 +46,11 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def with_keeper(rows: DataFrame) -> DataFrame:
     """Every row with ``kept_path``, the smallest path of its content, and ``is_kept``."""
-    keep = rows.groupBy("sha256").agg(F.min("relative_path").alias("kept_path"), F.count("*").alias("group_size"))
-    return rows.join(keep, "sha256").withColumn("is_kept", F.col("relative_path") == F.col("kept_path"))
+    keep = rows.filter("sha256 is not null").groupBy("sha256").agg(F.min("relative_path").alias("kept_path"), F.count("*").alias("group_size"))
+    joined = rows.join(keep, "sha256", "left")
+    listed = F.row_number().over(Window.partitionBy("sha256", "relative_path").orderBy(*(c for c in rows.columns if c not in ("sha256", "relative_path"))))
+    first = F.col("relative_path").eqNullSafe(F.col("kept_path")) & (listed == 1)
+    return joined.withColumn("is_kept", F.col("sha256").isNull() | first)
 
 
 def keep_first(rows: DataFrame) -> DataFrame:

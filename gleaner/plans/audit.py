@@ -295,21 +295,24 @@ def hamming_pairs(spark, sf):
     return _pairs(spark, sf)
 
 
+@query("hamming_pairs_8", f"WITH {t.FINGERPRINTS} SELECT i, j, distance FROM pairs WHERE distance <= 8")
+def hamming_pairs_8(spark, sf):
+    return near.hamming_pairs(t.fingerprints(spark, sf), 8)
+
+
 REACH = "edges AS (SELECT i AS a, j AS b FROM pairs UNION ALL SELECT j, i FROM pairs), reach AS (SELECT a AS node, a AS c FROM edges UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.node), comp AS (SELECT node, min(c) AS component FROM reach GROUP BY node)"
 
 
 @query("near_dup_groups", f"WITH RECURSIVE {t.FINGERPRINTS}, {REACH} SELECT node, component, count(*) OVER (PARTITION BY component) AS component_size FROM comp")
 def near_dup_groups(spark, sf):
-    return near.classes(_pairs(spark, sf))
+    return near.classes(t.fingerprints(spark, sf), 20)
 
 
 @query("near_dup_summary", f"""WITH RECURSIVE {t.FINGERPRINTS}, {REACH}, g AS (SELECT component, count(*) AS n, count(DISTINCT split) AS s, count(DISTINCT class) AS k FROM comp JOIN codes ON id = node GROUP BY component)
 SELECT (SELECT count(*) FROM pairs) AS pairs, count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS files, coalesce(max(n), 0) AS largest, count(*) FILTER (s > 1) AS cross_split_groups, count(*) FILTER (k > 1) AS conflicting_groups FROM g""")
 def near_dup_summary(spark, sf):
-    from gleaner.workspace import Workspace
-
-    pairs = Workspace(spark, "pairs").stash(_pairs(spark, sf), "pairs")
-    return near.summary(pairs, t.fingerprints(spark, sf).select("id", "split", "class"))
+    codes = t.fingerprints(spark, sf)
+    return near.summary(codes, codes.select("id", "split", "class"), 20)
 
 
 @query("pixel_stats", f"WITH {t.IMAGES} SELECT * FROM pixel")

@@ -122,7 +122,7 @@ def test_near_duplicates(spark):
     codes = spark.createDataFrame([(0, 0), (1, 1), (2, 3), (3, -1)], "id long, fp long")
     p = near.hamming_pairs(codes, 2)
     assert {(r.i, r.j) for r in p.collect()} == {(0, 1), (0, 2), (1, 2)}
-    assert {(r.node, r.component, r.component_size) for r in near.classes(p).collect()} == {(0, 0, 3), (1, 0, 3), (2, 0, 3)}
+    assert {(r.node, r.component, r.component_size) for r in near.classes(codes, 2).collect()} == {(0, 0, 3), (1, 0, 3), (2, 0, 3)}
     import random
 
     rng = random.Random(1)
@@ -174,3 +174,41 @@ def test_scalars(spark):
     assert tuple(r) == (".jpg", True, "data/X.JPG", "/s/data/X.JPG", "q/r")
     s = spark.range(1).select(dims.label_name(F.lit(9), NAMES), dims.label_name(F.lit(1), NAMES), dims.label_id(F.lit("notumor"), NAMES), scalar.sha_matches(F.lit("a"), F.lit(" ")), scalar.max_normalise(F.array(F.lit(1.0), F.lit(4.0))), scalar.max_normalise(F.array(F.lit(0.0)))).first()
     assert tuple(s) == ("9", "meningioma", 2, True, [0.25, 1.0], [0.0])
+
+
+def test_hamming_plans(spark, monkeypatch):
+    """Every plan gives the brute-force pairs; its expected candidates stay below all pairs."""
+    import random
+
+    from gleaner.operators import near
+
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    codes = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(10))) for c in base * 5] + base[:3]
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    df = spark.createDataFrame([*enumerate(signed), (999, None)], "id long, fp long")
+    for t in (0, 8, 20):
+        want = {(i, j, (codes[i] ^ codes[j]).bit_count()) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (codes[i] ^ codes[j]).bit_count() <= t}
+        for m in {0, t + 1, max(1, t // 2)} if t != 20 else {0, 11}:
+            monkeypatch.setattr(near, "plan", lambda n, threshold, m=m: (m, 0.0))
+            monkeypatch.setattr(near, "BLOCK", 60)
+            assert {(r.i, r.j, r.distance) for r in near.hamming_pairs(df, t).collect()} == want, (t, m)
+        monkeypatch.undo()
+        for n in (2000, 10**6, 10**9):
+            m, candidates = near.plan(n, t)
+            print(t, n, m, candidates)
+            assert candidates <= n * n / 2 and (t == 20 or n < 10**6 or candidates < n * n / 1000)
+        rows = df.select("id", F.lit("Training").alias("split"), F.lit("x").alias("class"))
+        s = near.summary(df, rows, t).first()
+        found = near.classes(df, t).collect()
+        assert s["pairs"] == len(want) and s.files == len({x for p in want for x in p[:2]}) == len(found)
+        assert s.groups == len({r.component for r in found})
+
+
+def test_duplicates_without_hash_and_listed_twice(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("c", None), ("d", None), ("e", "y")], "relative_path string, sha256 string")
+    rows = rows.withColumns({"split": F.lit("Training"), "class": F.lit("k"), "valid": F.lit(True)})
+    assert sorted(r.relative_path for r in duplicates.keep_first(rows).collect()) == ["a", "c", "d", "e"]
+    assert sorted((r.kept_relative_path, r.removed_relative_path) for r in duplicates.report(rows).collect()) == [("a", "a"), ("a", "b")]
+    assert [(r.sha256, r.group_size) for r in duplicates.groups(rows).collect()] == [("x", 3)]
+    assert duplicates.members(rows).count() == 3
