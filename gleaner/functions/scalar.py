@@ -106,3 +106,29 @@ def max_normalise(values: Column, floor: float = 1e-8) -> Column:
     """Divided by the maximum; a map without any positive value is all zero."""
     top = F.array_max(values)
     return F.transform(values, lambda x: F.when(top > floor, x / top).otherwise(F.lit(0.0)))
+
+
+def hex_to_long(code: Column) -> Column:
+    """16 hexadecimal digits as the signed number with the same 64 bits; NULL where they are none."""
+    half = lambda at: F.conv(F.substring(code, at, 8), 16, 10).cast("long")
+    return F.when(code.rlike("^[0-9a-fA-F]{16}$"), F.shiftleft(half(1), 32).bitwiseOR(half(9)))
+
+
+def utc_text(at: Column) -> Column:
+    """A timestamp as ISO 8601 text to the second, in UTC whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def metric_key(columns: list[str], name: str) -> str:
+    """The column that holds a metric: the name itself, else the first that ends with it (``val_`` before others)."""
+    fits = [c for c in columns if c == name] or sorted((c for c in columns if c.endswith(name)), key=lambda c: (not c.startswith("val_"), columns.index(c)))
+    if not fits:
+        raise KeyError(f"no column for {name}")
+    return fits[0]
+
+
+def parameter_count(shapes: list[tuple[int, ...]]) -> int:
+    """Numbers in arrays of these shapes; a scalar's shape is ()."""
+    from math import prod
+
+    return sum(prod(s) for s in shapes)

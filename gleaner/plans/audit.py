@@ -362,3 +362,49 @@ def history_rows(spark, sf):
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", "event_type")))
     lists = table(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg(ordered.alias("h")).select("run", F.col("h.value").alias("val_loss"), F.col("h.event_type").alias("kind"))
     return history.from_lists(lists, ["val_loss", "kind"])
+
+
+@query("format_examples", f"WITH {t.FILES}, w AS (SELECT *, CASE extension WHEN '.jpg' THEN 'JPEG' WHEN '.jpeg' THEN 'JPEG' WHEN '.png' THEN 'PNG' WHEN '.bmp' THEN 'BMP' END AS expected_format FROM files) SELECT relative_path, extension, format FROM w WHERE valid AND expected_format IS NOT NULL AND expected_format IS DISTINCT FROM format ORDER BY relative_path LIMIT 20")
+def format_examples(spark, sf):
+    """The first 20 by path, as a report lists them."""
+    from gleaner.plans.runs import listed
+
+    return listed(counts.format_mismatch(t.files(spark, sf)), ["relative_path"], ["relative_path", "extension", "format"])
+
+
+@query("warning_messages", GROUPS + """, x AS (SELECT (SELECT count(*) FROM g WHERE n_splits > 1) AS a, (SELECT coalesce(sum(training_files), 0)::BIGINT FROM g WHERE n_splits > 1) AS b, (SELECT coalesce(sum(testing_files), 0)::BIGINT FROM g WHERE n_splits > 1) AS c,
+ (SELECT count(*) FROM g WHERE n_classes > 1) AS d, (SELECT count(*) FROM files WHERE NOT valid) AS e, (SELECT count(*) FROM files WHERE extension = '.txt') AS f)
+ SELECT message FROM (SELECT unnest([CASE WHEN a > 0 THEN a || ' exact-duplicate group(s) cross Training and Testing (' || b || ' Training + ' || c || ' Testing files) - potential leakage.' END,
+  CASE WHEN d > 0 THEN d || ' duplicate group(s) contain conflicting class labels for identical content.' END, CASE WHEN e > 0 THEN e || ' corrupt/unreadable image file(s) found.' END,
+  CASE WHEN f > 0 THEN f || ' non-image file(s) found inside class folders.' END]) AS message FROM x) WHERE message IS NOT NULL""")
+def warning_messages(spark, sf):
+    from gleaner.plans import runs
+
+    f = t.files(spark, sf)
+    s = duplicates.summary(f).select(F.col("cross_groups").alias("groups_crossing_splits"), F.col("cross_training_files").alias("cross_split_files_training"), F.col("cross_testing_files").alias("cross_split_files_testing"), F.col("conflicting_groups").alias("conflicting_class_groups"))
+    c = f.agg(F.count_if(~F.col("valid")).alias("invalid_images"), F.count_if(expected_format(F.col("extension")).isNull()).alias("non_image_files"), F.lit(0).alias("format_mismatches"))
+    return runs.warning_messages(s.crossJoin(c))
+
+
+@query("hex_codes", "SELECT doc_id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS code FROM (SELECT doc_id, ('0x' || substr(sha256(text), 1, 16))::UBIGINT::HUGEINT AS h FROM documents)")
+def hex_codes(spark, sf):
+    from gleaner.functions.scalar import hex_to_long
+
+    return table(spark, sf, "documents").select("doc_id", hex_to_long(F.substring(F.sha2("text", 256), 1, 16)).alias("code"))
+
+
+@query("utc_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def utc_stamps(spark, sf):
+    from gleaner.functions.scalar import utc_text
+
+    return table(spark, sf, "events").select("event_id", utc_text(F.col("ts")).alias("stamp"))
+
+
+@query("split_run_counts", SPLIT + """, s AS (SELECT class, CASE WHEN r <= round_even(n * 0.2, 0) THEN 'validation' ELSE 'train' END AS part FROM u UNION ALL SELECT class, 'test' FROM files WHERE split = 'Testing')
+SELECT part AS processed_split, class AS label_name, count(*) AS image_count, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY part) * 100, 2) AS percentage FROM s WHERE class IS NOT NULL GROUP BY part, class""")
+def split_run_counts(spark, sf):
+    """The distribution table of a whole split run; copies of training contents are no test files here, or the run would refuse them."""
+    from gleaner.plans.runs import split_run
+
+    f = t.files(spark, sf).withColumn("sha256", F.concat("split", "sha256"))
+    return split_run(f, t.CLASSES)[0]["split_distribution"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.scalar import clip01, sane_probabilities, valid_probabilities
 from gleaner.operators import metrics, predictions
 from gleaner.plans import tables as t
-from gleaner.plans.registry import query
+from gleaner.plans.registry import ORACLES, query
 
 K = 4
 P = t.PREDICTIONS
@@ -117,14 +117,17 @@ KEPT = CM.replace("predictions AS (", "every AS (", 1).replace(
 def dedup_sensitivity(spark, sf):
     """Metrics without redundant files: copies by first value and the label 9, removed by an anti join."""
     from gleaner.operators.duplicates import without
+
+    left = without(t.predictions(spark, sf).withColumnRenamed("filepath", "relative_path"), redundant_files(spark, sf))
+    return metrics.overall(metrics.confusion(left, K, ["model"]), ["model"]).select("model", "accuracy", "macro_f1", "n")
+
+
+def redundant_files(spark, sf):
     from gleaner.plans.registry import table
 
-    p = t.predictions(spark, sf)
     keeper = table(spark, sf, "embeddings").groupBy(F.col("embedding")[0].alias("v")).agg(F.min("vec_id").alias("kept"))
     ids = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("v")).join(keeper, "v")
-    gone = ids.filter((F.col("vec_id") != F.col("kept")) | (F.col("label") == 9)).select(F.concat(F.lit("data/"), F.lpad(F.col("vec_id").cast("string"), 8, "0"), F.lit(".jpg")).alias("relative_path"))
-    left = without(p.withColumnRenamed("filepath", "relative_path"), gone)
-    return metrics.overall(metrics.confusion(left, K, ["model"]), ["model"]).select("model", "accuracy", "macro_f1", "n")
+    return ids.filter((F.col("vec_id") != F.col("kept")) | (F.col("label") == 9)).select(F.concat(F.lit("data/"), F.lpad(F.col("vec_id").cast("string"), 8, "0"), F.lit(".jpg")).alias("relative_path"))
 
 
 def _assembled(spark, sf):
@@ -152,3 +155,26 @@ def ml_attribution(spark, sf):
     data = _assembled(spark, sf)
     model = fit_head(data)
     return attribution(model, predict(model, data)).select("vec_id", "predicted", F.size("heat").alias("n"), F.round(F.array_max("heat"), 6).alias("top"))
+
+
+def _both(name: str, sql: str, of) -> None:
+    """The second model's twin of a query that shows one model."""
+    query(f"{name}_transfer", sql.replace("model = 'baseline'", "model = 'transfer'"))(of)
+
+
+def _second(spark, sf):
+    return _one(spark, sf, "transfer")
+
+
+_both("predictions_table", ORACLES["predictions_table"], lambda spark, sf: predictions.predictions_table(_second(spark, sf).drop("y_pred"), t.NAMES))
+_both("confusion_normalised", ORACLES["confusion_normalised"], lambda spark, sf: metrics.normalised(metrics.confusion(_second(spark, sf), K)).withColumn("share", F.round("share", 9)))
+_both("classification_report", ORACLES["classification_report"], lambda spark, sf: metrics.report(metrics.confusion(_second(spark, sf), K), t.NAMES))
+
+
+@query("evaluation_run", OV.replace(CM, KEPT).replace("ov AS (", "dd AS (") + """, full_p AS (SELECT model, y_true, y_pred FROM every)
+SELECT f.model, round(avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0 END), 9) AS primary_accuracy, any_value(d.accuracy) AS dedup_accuracy, any_value(d.macro_f1) AS dedup_macro_f1 FROM full_p f JOIN dd d USING (model) GROUP BY f.model""")
+def evaluation_run(spark, sf):
+    """The sensitivity table of a whole evaluation run over both models."""
+    from gleaner.plans.runs import evaluation_run as run
+
+    return run(t.predictions(spark, sf), t.NAMES, redundant_files(spark, sf))[0]["duplicate_sensitivity"].drop("primary_macro_f1")
