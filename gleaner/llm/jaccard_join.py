@@ -274,6 +274,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     one = kept.join(reps.select("k1", "k2", "rep"), (kept.doc_id == F.col("rep")) & (kept.k1 == reps.k1) & (kept.k2 == reps.k2), "inner")
     one = one.select("rep", kept.k1, kept.k2, "n_shingles", "tokens", "levels", "prefix", size_band(F.col("n_shingles"), percent).alias("band"))
     one = work.stash(one.dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "one")
+    ids = work.stash(sets.select("doc_id", "n_shingles", "k1", "k2"), "ids")
+    work.discard("sets")  # the sets of the representatives are in ``one``
     cut = work.stash(_groups(one, work), "groups").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = cut.join(one.select("rep", "n_shingles", "tokens", "levels"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "hub", "band", "gram", "own", "block", "n_shingles", "tokens", "levels", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
@@ -282,5 +284,5 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = connected_components(links)
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id"))
     named = work.stash(named, "named")
-    out = join_counted(sets.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], "copies", F.col("doc_id"), "left")
+    out = join_counted(ids, named, ["k1", "k2"], "copies", F.col("doc_id"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
