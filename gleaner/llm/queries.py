@@ -1,14 +1,18 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The thirteen operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gleaner.llm.bitslice import top_k
 from gleaner.llm.decontaminate import leaks
+from gleaner.llm.divergence import source_divergence
 from gleaner.llm.jaccard_join import jaccard_classes
 from gleaner.llm.kneser_ney import perplexities
+from gleaner.llm.lexical import ranked_search
 from gleaner.llm.line_dedup import line_report
 from gleaner.llm.media import text_media
 from gleaner.llm.mixing import label_domains, mixture
@@ -87,6 +91,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op11_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+@_query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=3, most=200)
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op1_line_dedup"] = f"""
@@ -167,3 +186,45 @@ SELECT f.doc_id, n_bytes::BIGINT AS n_bytes, (64 * h)::BIGINT AS payload_bytes,
        sha256(unhex('934E554D505901007600') || encode(rpad('{''descr'': ''|u1'', ''fortran_order'': False, ''shape'': (8, 9), }', 117, ' ') || chr(10))
               || unhex(array_to_string(list_transform(q, lambda t: printf('%02X', t::INT)), ''))) AS tile_sha256
 FROM f JOIN bits USING (doc_id) JOIN crc USING (doc_id)"""
+
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES["op11_bitsliced_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLES["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT no, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT no) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang),
+groups AS (SELECT g.lang, g.source, coalesce(s.v, 0) AS v, coalesce(s.total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sizes s USING (lang)),
+counted AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT g.*, coalesce(t.total, 0) AS total FROM groups g LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS total FROM counted GROUP BY ALL) t USING (lang, source)),
+dense AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (t.total + t.v) AS p, 1 + 1000000000 * (k.n + 1) // (t.lang_total + t.v) AS q
+          FROM totals t JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+others AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+both_parts AS (SELECT o.lang, o.source, 'pair' AS part, o.item, coalesce(f.value, 0) AS value FROM others o LEFT JOIN far f USING (lang, source, item)
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+_ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op13_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS no, doc_id, {_ALNUM} AS w FROM documents),
+words AS (SELECT no, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT no, doc_id, n, term, count(*) AS tf FROM words GROUP BY ALL),
+corpus AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term),
+items AS (SELECT row_number() OVER () AS item, item_id, {_ALNUM} AS t FROM benchmark),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+scores AS (SELECT item, item_id, no, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+           FROM asked JOIN df USING (term) JOIN tf USING (term), corpus GROUP BY item, item_id, no, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""

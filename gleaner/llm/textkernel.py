@@ -120,8 +120,9 @@ def rolling(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * inverse[: n - k + 1] + np.uint64(k))
 
 
-def chunks(array: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The rows of a string array in chunks of about ``limit`` bytes; a longer text is a chunk alone. NULL is empty."""
+def slices(array: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, offsets) of a string array in pieces of about ``limit`` bytes; a longer text is a piece
+    alone. NULL is empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks() if array.num_chunks != 1 else array.chunk(0)
     if array.null_count:
@@ -135,5 +136,39 @@ def chunks(array: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
     r = 0
     while r < len(array):
         end = max(r + 1, int(np.searchsorted(offsets, offsets[r] + limit, "right")) - 1)
-        yield Chunk(r, end, raw[offsets[r] : offsets[end]], offsets[r : end + 1] - offsets[r], lower)
+        yield r, end, raw[offsets[r] : offsets[end]], offsets[r : end + 1] - offsets[r]
         r = end
+
+
+def chunks(array: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The rows of a string array in chunks of about ``limit`` bytes; a longer text is a chunk alone. NULL is empty."""
+    for first, last, data, offsets in slices(array, limit):
+        yield Chunk(first, last, data, offsets, lower)
+
+
+def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which bytes lie in the ranges, both ends included; bytes of characters beyond ASCII always do."""
+    out = np.zeros(256, bool)
+    out[128:] = True
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+#: Terms of ASCII letters, or of letters and digits; A-Z are lower-cased before.
+LETTERS, ALNUM = byte_class((0x61, 0x7A)), byte_class((0x61, 0x7A), (0x30, 0x39))
+
+
+def class_terms(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The maximal runs of bytes of a class in each row, A-Z lower-cased: (distinct terms, each run's term, each row's first run)."""
+    low = LOWER[data]
+    kept = inside[low]
+    begin = kept.copy()
+    begin[1:] &= ~kept[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begin[heads] = kept[heads]
+    at = np.searchsorted(np.flatnonzero(begin), offsets)
+    body = low[kept]
+    edges = np.append(np.flatnonzero(begin[kept]), len(body)).astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(body)).dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices), at
