@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from gleaner.workspace import Workspace
 
 BLOCK, BLOCK_CELLS, WAVE_BYTES = 1 << 16, 1 << 23, 32 << 20
-#: Slices of the widest attribute that are added; a wider one's lowest slices are made good at the boundary.
+#: Slices of the widest attribute that are added; its lower ones are made good at the boundary.
 SLICES = 6
 
 
@@ -164,7 +164,7 @@ def at_least(sums: list[np.ndarray], every: np.ndarray, least: int) -> np.ndarra
 class Block:
     """One block of the index, ready for queries."""
 
-    def __init__(self, n: int, vals: bytes, low: bytes, bits: bytes, slices: bytes, ids: pa.ListScalar):
+    def __init__(self, n: int, vals: bytes, low: bytes, bits: bytes, slices: bytes, ids: pa.ListScalar, added: int = SLICES):
         self.n, self.low, self.bits = n, np.frombuffer(low, "<i8"), np.frombuffer(bits, "<i8")
         self.dims = len(self.low)
         self.values = np.frombuffer(vals, "<i4").reshape(n, self.dims)
@@ -175,7 +175,7 @@ class Block:
         self.every = np.full(words, 2**64 - 1, np.uint64)
         if n % 64:
             self.every[-1] = np.uint64((1 << n % 64) - 1)
-        self.left_out = max(0, int(self.bits.max(initial=0)) - SLICES)
+        self.left_out = max(0, int(self.bits.max(initial=0)) - added)
         lists = ids.values
         self.id_at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
         flat = lists.flatten()
@@ -234,7 +234,7 @@ def _merge(best: tuple | None, more: tuple, k: int) -> tuple:
     return scores[keep], no_id[keep], ids[keep]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", slices: int = SLICES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of greatest integer inner product with each row where ``is_query``."""
     spark = vectors.sparkSession
     work = Workspace(spark, "bitslice")
@@ -260,7 +260,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
             best: list[tuple | None] = [None] * len(queries)
             for b in batches:
                 for i in range(b.num_rows):
-                    block = Block(*(b.column(j)[i].as_py() for j in range(5)), b.column(5)[i])
+                    block = Block(*(b.column(j)[i].as_py() for j in range(5)), b.column(5)[i], slices)
                     if dims * int(np.abs(block.values.astype(np.int64)).max(initial=0)) * max((int(np.abs(q).max(initial=0)) for _, _, q in queries), default=0) >= 2**62:
                         raise ValueError("scores may leave 64 bits: choose a smaller scale")
                     for j, (_, own, q) in enumerate(queries):

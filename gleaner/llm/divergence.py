@@ -9,11 +9,11 @@ integer p = 1 + SCALE * (count + 1) div (N + V) of its occurrences there; f(p, q
 * Part ``pair``: for each group and each other source of the language, the sum of f over all kept terms. Most terms
   occur in few sources, and where a source lacks a term its p is a constant. So the sum starts from the baseline of two
   constants times V, is corrected for the terms of either source by their counts of equal p, and for the terms of both
-  one by one. Sources are numbered and cut into blocks of ``SIDE``; two blocks make a matrix, summed by tasks that each
+  one by one. Sources are numbered and cut into blocks of ``side``; two blocks make a matrix, summed by tasks that each
   see a share of the terms, in 64-bit integers. A task's memory is one such matrix, whatever holds the rows.
 
 Texts are counted in Arrow batches: a task sends a row for each (language, source, term) that it has met since it last
-passed ``FLUSH`` entries. All arithmetic is exact (quotients of products beyond 64 bits are taken in decimals).
+passed ``flush`` entries. All arithmetic is exact (quotients of products beyond 64 bits are taken in decimals).
 
 Defined results: NULL text, lang and source are ''; each row is a document, also where doc_id is NULL or repeated; a group
 without terms is a group; a language without kept terms has pairs of value 0; a language of one source has no pairs; an
@@ -40,7 +40,8 @@ SCALE, SIDE, FLUSH, FLUSH_CHARS, PAIRS = 1_000_000_000, 256, 2_000_000, 32 << 20
 class _Held:
     """A task's counts: terms and groups are numbered, counts are sorted arrays of (group, term)."""
 
-    def __init__(self):
+    def __init__(self, flush: int):
+        self.flush = flush
         self.groups: dict[tuple[str, str], int] = {}
         self.clear()
 
@@ -68,10 +69,10 @@ class _Held:
         if len(keys):
             self.parts.append((keys, n, docs))
             self.entries += len(keys)
-        if self.entries > FLUSH:
+        if self.entries > self.flush:
             self.parts = [self.merged()]
             self.entries = len(self.parts[0][0])
-        return self.entries > FLUSH // 2 or self.chars > FLUSH_CHARS
+        return self.entries > self.flush // 2 or self.chars > FLUSH_CHARS
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
@@ -85,8 +86,8 @@ class _Held:
         self.clear()
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _Held()
+def _counts(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
+    held = _Held(flush)
     for b in batches:
         pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
         group = np.fromiter((held.groups.setdefault(p, len(held.groups)) for p in pairs), np.int64, b.num_rows)
@@ -123,16 +124,16 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class _Sums:
     """The sums of a pair of source blocks: rows are the sources judged, columns the others."""
 
-    def __init__(self, a: int, b: int):
-        self.a, self.b = a, b
-        self.names: list[str | None] = [None] * (2 * SIDE)
-        self.p0, self.here = np.ones(2 * SIDE, np.int64), np.zeros(2 * SIDE, bool)
-        self.sums, self.base = np.zeros((2 * SIDE, 2 * SIDE), np.int64), None
+    def __init__(self, a: int, b: int, side: int, pairs: int):
+        self.a, self.b, self.side, self.pairs = a, b, side, pairs
+        self.names: list[str | None] = [None] * (2 * side)
+        self.p0, self.here = np.ones(2 * side, np.int64), np.zeros(2 * side, bool)
+        self.sums, self.base = np.zeros((2 * side, 2 * side), np.int64), None
         self.terms, self.told = 0, False
         self.rest: tuple[str, np.ndarray, np.ndarray] | None = None
 
     def local(self, idx: np.ndarray) -> np.ndarray:
-        return np.where(idx // SIDE == self.a, 0, SIDE) + idx % SIDE
+        return np.where(idx // self.side == self.a, 0, self.side) + idx % self.side
 
     def sources(self, idx: np.ndarray, names: list[str], p0: np.ndarray, v: np.ndarray, tells: bool) -> None:
         at = self.local(idx)
@@ -163,7 +164,7 @@ class _Sums:
         todo = np.cumsum(size * size)
         i = 0
         while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(todo, (todo[i - 1] if i else 0) + PAIRS, "right")))
+            j = max(i + 1, int(np.searchsorted(todo, (todo[i - 1] if i else 0) + self.pairs, "right")))
             m = np.repeat(size[i:j], size[i:j])  # for each row, the rows of its term
             left = np.repeat(np.arange(starts[i], ends[j - 1]), m)
             right = np.repeat(np.repeat(starts[i:j], size[i:j]), m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
@@ -196,8 +197,8 @@ class _Sums:
     def out(self, lang: str) -> pa.RecordBatch | None:
         self.terms_of(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), last=True)
         first, second = self.here.copy(), self.here.copy()
-        first[SIDE:], second[:SIDE] = False, False
-        want = self.here[:, None] & self.here[None, :] & ~np.eye(2 * SIDE, dtype=bool) if self.a == self.b else first[:, None] & second[None, :] | second[:, None] & first[None, :]
+        first[self.side :], second[: self.side] = False, False
+        want = self.here[:, None] & self.here[None, :] & ~np.eye(2 * self.side, dtype=bool) if self.a == self.b else first[:, None] & second[None, :] | second[:, None] & first[None, :]
         if self.told:  # one of the tasks of a pair of blocks adds the baseline
             self.sums = self.sums + self.terms * self.baseline()
         else:
@@ -209,7 +210,7 @@ class _Sums:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), names.take(pa.array(g)), names.take(pa.array(o)), pa.array(self.sums[g, o])], ["lang", "source", "item", "value"])
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_sums(batches: Iterator[pa.RecordBatch], side: int, pairs: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (lang, a, b, salt, kind, term): a run of (lang, a, b, salt) has its sources, then counts of p, then terms."""
     key, run = None, None
     for batch in batches:
@@ -224,7 +225,7 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now != key:
                 if run is not None and (found := run.out(key[0])) is not None:
                     yield found
-                key, run = now, _Sums(now[1], now[2])
+                key, run = now, _Sums(now[1], now[2], side, pairs)
             name = batch.column("name").slice(s, e - s)
             if kind[s] == 0:
                 run.sources(idx[s:e], name.to_pylist(), p[s:e], n[s:e], now[3] == 0)
@@ -236,7 +237,7 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def _pairs(groups: DataFrame, seen: DataFrame, spark_width: int) -> DataFrame:
+def _pairs(groups: DataFrame, seen: DataFrame, spark_width: int, side: int, most_pairs: int) -> DataFrame:
     """(lang, source, item, value): ``groups`` has lang, source, idx, blocks (of its language), p0, terms; ``seen`` lang, source, idx, blocks, term, p."""
     total = groups.filter("idx = 0").agg(F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()[0] or 1
     salts = max(1, -(-spark_width // total))
@@ -245,19 +246,20 @@ def _pairs(groups: DataFrame, seen: DataFrame, spark_width: int) -> DataFrame:
     every = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("lang", "idx", "blocks", F.col("source").alias("name"), F.col("p0").alias("p"), F.col("terms").alias("n"), F.lit(0).alias("kind"), "salt")
     equal = seen.groupBy("lang", "idx", "blocks", "p").agg(F.count("*").alias("n")).select("lang", "idx", "blocks", F.lit(None).cast("string").alias("name"), "p", "n", F.lit(1).alias("kind"), F.pmod(F.xxhash64("p"), F.lit(salts)).cast("int").alias("salt"))
     terms = seen.select("lang", "idx", "blocks", F.col("term").alias("name"), "p", F.lit(1).cast("long").alias("n"), F.lit(2).alias("kind"), F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt"))
-    mine = F.expr(f"idx div {SIDE}")
+    mine = F.expr(f"idx div {side}")
     rows = every.select(*names).unionByName(equal.select(*names)).unionByName(terms.select(*names))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("a", F.least(mine, "other")).withColumn("b", F.greatest(mine, "other"))
     rows = rows.select("lang", "a", "b", "salt", "kind", "name", "idx", "p", "n").repartition(spark_width, "lang", "a", "b", "salt").sortWithinPartitions("lang", "a", "b", "salt", "kind", "name")
-    return rows.mapInArrow(_pair_sums, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    sums = lambda batches: _pair_sums(batches, side, most_pairs)
+    return rows.mapInArrow(sums, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def source_divergence(docs: DataFrame, min_docs: int = 3, most: int = 200, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = 3, most: int = 200, text: str = "text", lang: str = "lang", source: str = "source", side: int = SIDE, flush: int = FLUSH, pairs_at_once: int = PAIRS) -> DataFrame:
     """lang, source, part, item, value, rank."""
     spark = docs.sparkSession
     work = Workspace(spark, "divergence")
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    sent = read.mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
+    sent = read.mapInArrow(lambda batches: _counts(batches, flush), "lang string, source string, term string, n long, docs long")
     # one exchange: the counts of a term by source and by language lie in one task, at most a row a source and task
     w = Window.partitionBy("lang", "term")
     counts = sent.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -267,7 +269,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, most: int = 200, text:
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("term").alias("held"), F.count_if(kept & F.col("lead")).alias("led"))
     of_lang = Window.partitionBy("lang")  # sources, not rows
     groups = groups.withColumn("terms", F.sum("led").over(of_lang)).withColumn("lang_total", F.sum("total").over(of_lang)).withColumn("idx", F.row_number().over(of_lang.orderBy("source")).cast("long") - 1)
-    groups = groups.withColumn("blocks", F.expr(f"(count(*) over (partition by lang) + {SIDE - 1}) div {SIDE}"))
+    groups = groups.withColumn("blocks", F.expr(f"(count(*) over (partition by lang) + {side - 1}) div {side}"))
     safe = F.greatest(F.col("total") + F.col("terms"), F.lit(1))
     groups = work.stash(groups.withColumn("p0", _p(F.lit(0).cast("long"), safe)), "groups")
     known = groups.select("lang", "source", "held", "terms", "total", "lang_total", "idx", "blocks")
@@ -276,7 +278,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, most: int = 200, text:
     seen = work.stash(seen.select("lang", "source", "idx", "blocks", "term", "p", "q"), "seen")
     above = work.stash(seen.filter("p > q").select("lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value")), "above")
     top = radix_top(above, ["lang", "source"], "value", "item", most, work)
-    pairs = _pairs(groups, seen, shuffle_width(spark))
+    pairs = _pairs(groups, seen, shuffle_width(spark), side, pairs_at_once)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
     cols = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
