@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.images import SIDE, preprocessed
+from gleaner.functions.containers import decode
+from gleaner.functions.images import SIDE
+from gleaner.functions.scalar import IMAGE_GLOB
+from gleaner.operators.imagetable import decoded
 from gleaner.operators.splits import batches, shuffled
 from gleaner.workspace import Workspace
 
@@ -22,14 +26,16 @@ def build_dataset(manifest: DataFrame, batch_size: int = 32, training: bool = Fa
     spark = manifest.sparkSession
     placed = manifest.withColumn("_turn", F.md5(F.concat(F.lit(f"{seed}|{epoch}|"), F.col("path")))) if training else manifest.withColumn("_turn", F.lit(""))
     dealt = Workspace(spark, "dataset").stash(batches(placed, ["_turn", "path"], batch_size).drop("_turn"), "batches")
-    folders = [r[0] for r in dealt.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]  # a row a class folder
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    if not folders:
+    ends = dealt.agg(F.min("path"), F.max("path")).first()  # what these two have in common all paths have
+    if ends[0] is None:
         return dealt.select("batch", "path", "label_id", F.lit(None).cast("array<float>").alias("pixels"), F.lit(None).cast("string").alias("error"))
-    images = spark.read.format("image").option("dropInvalid", "false").load(folders)
-    pixels = preprocessed(images, side, training, seed, epoch).withColumn("_path", plain("origin"))
-    joined = dealt.join(pixels, plain("path") == F.col("_path"), "left")
-    return joined.select("batch", "path", "label_id", "pixels", F.when(F.col("_path").isNull(), "missing file").otherwise(F.col("error")).alias("error"))
+    root = commonprefix(list(ends)).rpartition("/")[0] or "/"
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB).load(root).select(plain("path").alias("_path"), "content")
+    # only files that the manifest names are joined and decoded; what a shuffle moves is their bytes, not pixels
+    joined = dealt.join(files, plain("path") == F.col("_path"), "left").withColumn("_found", F.col("_path").isNotNull()).drop("_path")
+    out = decoded(joined, side=side, training=training, seed=seed, epoch=epoch, key="path")
+    return out.select("batch", "path", "label_id", "pixels", F.when(~F.col("_found"), "missing file").otherwise(F.col("error")).alias("error"))
 
 
 def epochs(manifest: DataFrame, n: int, seed: int = 42) -> list[DataFrame]:
@@ -39,7 +45,7 @@ def epochs(manifest: DataFrame, n: int, seed: int = 42) -> list[DataFrame]:
 
 def image_row(source: bytes | str | np.ndarray) -> tuple[int, int, int, bytes]:
     """(height, width, channels, rows of B, G, R or gray bytes) of an array (RGB or gray), or of the bytes or path of an image
-    file, decoded by the JVM; ValueError where it is none."""
+    file; ValueError where it is none."""
     if isinstance(source, np.ndarray):
         x = np.asarray(source, np.uint8)
         if x.ndim == 2:
@@ -47,16 +53,8 @@ def image_row(source: bytes | str | np.ndarray) -> tuple[int, int, int, bytes]:
         if x.ndim != 3 or x.shape[2] not in (3, 4):
             raise ValueError("an image array is (h, w) or (h, w, 3)")
         return x.shape[0], x.shape[1], 3, np.ascontiguousarray(x[:, :, 2::-1]).tobytes()
-    from pyspark import SparkContext
-
-    data = source if isinstance(source, bytes) else open(source, "rb").read()
-    jvm = SparkContext._active_spark_context._jvm
-    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
-    if image is None:
-        raise ValueError("undecodable image")
-    drawn = jvm.java.awt.image.BufferedImage(image.getWidth(), image.getHeight(), jvm.java.awt.image.BufferedImage.TYPE_3BYTE_BGR)
-    drawn.createGraphics().drawImage(image, 0, 0, None)
-    return image.getHeight(), image.getWidth(), 3, bytes(drawn.getRaster().getDataBuffer().getData())
+    x = decode(source if isinstance(source, bytes) else open(source, "rb").read())
+    return x.shape[0], x.shape[1], 3, np.ascontiguousarray(x[:, :, ::-1]).tobytes()
 
 
 def predict_image(source: bytes | str | np.ndarray, predict: Callable[[np.ndarray], np.ndarray], names: list[str], side: int = SIDE) -> dict:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: File extensions that count as images, and the format each stands for.
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tif", ".tiff", ".webp"]
 EXPECTED_FORMAT = {".jpg": "JPEG", ".jpeg": "JPEG", ".png": "PNG", ".bmp": "BMP", ".gif": "GIF", ".tif": "TIFF", ".tiff": "TIFF", ".webp": "WEBP"}
+#: A file name pattern for them, in any case.
+IMAGE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in IMAGE_EXTENSIONS) + "}"
 
 
 def share(part: Column, whole: Column) -> Column:

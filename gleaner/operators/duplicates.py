@@ -7,10 +7,11 @@ hash is a copy of nothing: it is in no group and is kept. Of rows with equal has
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.ranking import global_rank
+from gleaner.workspace import fresh_name
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -44,22 +45,36 @@ def summary(rows: DataFrame) -> DataFrame:
     return out.crossJoin(valid).withColumn("duplicate_ratio", F.coalesce(F.try_divide(F.col("duplicate_files").cast("double"), F.col("valid_files").cast("double")), F.lit(0.0)))
 
 
-def with_keeper(rows: DataFrame) -> DataFrame:
-    """Every row with ``kept_path``, the smallest path of its content, and ``is_kept``."""
-    keep = rows.filter("sha256 is not null").groupBy("sha256").agg(F.min("relative_path").alias("kept_path"), F.count("*").alias("group_size"))
-    joined = rows.join(keep, "sha256", "left")
-    listed = F.row_number().over(Window.partitionBy("sha256", "relative_path").orderBy(*(c for c in rows.columns if c not in ("sha256", "relative_path"))))
-    first = F.col("relative_path").eqNullSafe(F.col("kept_path")) & (listed == 1)
-    return joined.withColumn("is_kept", F.col("sha256").isNull() | first)
-
-
 def keep_first(rows: DataFrame) -> DataFrame:
-    return with_keeper(rows).filter("is_kept").drop("kept_path", "is_kept", "group_size")
+    """Of each content the row with the smallest path, any one of equal paths; rows without hash as they are.
+
+    One aggregation whose partial results are one row a content and task; any column types."""
+    own = fresh_name("_own", rows.columns)
+    keyed = rows.withColumn(own, F.when(F.col("sha256").isNull(), F.monotonically_increasing_id()))
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.col("relative_path").isNull(), F.col("relative_path"))).alias("_row")
+    return keyed.groupBy("sha256", own).agg(first).select("_row.*")
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """One row for each removed copy."""
-    return with_keeper(rows).filter("not is_kept").select("sha256", F.col("kept_path").alias("kept_relative_path"), F.col("relative_path").alias("removed_relative_path"), F.col("class").alias("label_name"))
+    """One row for each removed copy; a path listed n times with one content is removed n - 1 times."""
+    several = rows.filter("sha256 is not null").groupBy("sha256").agg(F.min("relative_path").alias("kept_relative_path"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    found = rows.select("sha256", "relative_path", F.col("class").alias("label_name")).join(several, "sha256")
+    kept = F.col("relative_path").eqNullSafe(F.col("kept_relative_path"))
+    again = found.filter(kept).groupBy("sha256", "kept_relative_path").agg(F.count("*").alias("_n"), F.min("label_name").alias("label_name")).filter("_n > 1")
+    # in two steps, so that no array grows with the count
+    again = again.withColumn("_at", F.explode(F.expr("sequence(0L, (_n - 2) div 10000)"))).withColumn("_k", F.explode(F.expr("sequence(1, least(10000, _n - 1 - 10000 * _at))")))
+    columns = ["sha256", "kept_relative_path", "removed_relative_path", "label_name"]
+    removed = lambda df, path: df.withColumn("removed_relative_path", F.col(path)).select(*columns)
+    return removed(found.filter(~kept), "relative_path").unionByName(removed(again, "kept_relative_path"))
+
+
+def class_summary(rows: DataFrame) -> DataFrame:
+    """By class: rows kept and removed, contents with removed copies, and the members of these."""
+    kept = keep_first(rows).groupBy("class").agg(F.count("*").alias("kept"))
+    gone = report(rows).groupBy(F.col("label_name").alias("class")).agg(F.count("*").alias("removed"), F.countDistinct("sha256").alias("groups"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    both = kept.join(gone, kept["class"].eqNullSafe(gone["class"]), "full").select(F.coalesce(kept["class"], gone["class"]).alias("class"), number("kept"), number("removed"), number("groups"))
+    return both.withColumn("members", F.col("groups") + F.col("removed"))
 
 
 def ranked_groups(rows: DataFrame) -> DataFrame:

@@ -60,10 +60,7 @@ def dedup_report(spark, sf):
 
 @query("dedup_summary", KEEP + "SELECT class, count(*) FILTER (r = 1) AS kept, count(*) FILTER (r > 1) AS removed, count(DISTINCT sha256) FILTER (r > 1) AS groups, count(DISTINCT sha256) FILTER (r > 1) + count(*) FILTER (r > 1) AS members FROM k GROUP BY class")
 def dedup_summary(spark, sf):
-    r = duplicates.with_keeper(t.training(spark, sf))
-    gone = ~F.col("is_kept")
-    groups = F.countDistinct(F.when(gone, F.col("sha256")))
-    return r.groupBy("class").agg(F.count_if("is_kept").alias("kept"), F.count_if(gone).alias("removed"), groups.alias("groups")).withColumn("members", F.col("groups") + F.col("removed"))
+    return duplicates.class_summary(t.training(spark, sf))
 
 
 RANKED = GROUPS + ", n AS (SELECT *, row_number() OVER (ORDER BY first_path, sha256) AS group_id FROM g), marked AS (SELECT CAST(group_id AS INT) AS group_id, sha256, relative_path, class AS label_name, relative_path = first_path AS is_representative, group_size FROM files JOIN n USING (sha256)) "

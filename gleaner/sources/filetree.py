@@ -1,16 +1,20 @@
 """A dataset tree <root>/<split>/<class>/<file>: structure audit, image metadata, strict scan.
 
-``binaryFile`` lists the tree; content is read only where it is selected. Images are decoded by Spark's own ``image``
-source. Empty directories do not show up in file sources.
+``binaryFile`` lists the tree; content is read only where it is selected. Directories, empty ones too, come from the tree
+source of ``gleaner.sources.listing``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.dims import dim
-from gleaner.functions.scalar import extension, is_image, magic_format
+from gleaner.functions.scalar import IMAGE_GLOB, extension
+from gleaner.operators.imagetable import inspected
+from gleaner.sources.listing import list_tree
 
 
 class DatasetAuditError(RuntimeError):
@@ -24,9 +28,7 @@ class PreprocessingError(RuntimeError):
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path, relative_path, depth, split, class, extension, file_size_bytes of every file, without reading content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    top = root.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_extract("path", f"/{top}/(.*)$", 1)
-    return path_columns(raw.select("path", rel.alias("relative_path"), F.col("length").alias("file_size_bytes")))
+    return path_columns(raw.select("path", _relative(root).alias("relative_path"), F.col("length").alias("file_size_bytes")))
 
 
 def path_columns(files: DataFrame) -> DataFrame:
@@ -37,10 +39,17 @@ def path_columns(files: DataFrame) -> DataFrame:
         "extension": extension(F.col("relative_path"))})
 
 
-def structure_anomalies(files: DataFrame, splits: list[str], classes: list[str]) -> DataFrame:
-    """kind, name, n: missing and unexpected names, stray files, nested directories."""
+def structure_anomalies(files: DataFrame, splits: list[str], classes: list[str], directories: DataFrame | None = None) -> DataFrame:
+    """kind, name, n: missing and unexpected names, stray files, nested directories (n: files below).
+
+    ``directories`` (relative_path) makes empty ones count: an empty class folder is there, an empty split misses its classes."""
     spark = files.sparkSession
-    seen = files.select("split", "class", "depth").distinct()
+    seen = files.select("split", "class", "depth")
+    folders = path_columns(directories.select("relative_path")) if directories is not None else None
+    if folders is not None:  # a folder is as good as a file in it
+        name = F.split("relative_path", "/")
+        seen = seen.unionByName(folders.select(F.get(name, F.lit(0)).alias("split"), F.get(name, F.lit(1)).alias("class"), (F.col("depth") + 1).alias("depth")))
+    seen = seen.distinct()
     want_s = dim(spark, splits, "split").select("split")
     have_s = seen.filter("split is not null").select("split").distinct()
     known = have_s.join(want_s, "split")
@@ -48,7 +57,9 @@ def structure_anomalies(files: DataFrame, splits: list[str], classes: list[str])
     have = seen.filter("class is not null").join(known, "split").select("split", "class").distinct()
     one = F.lit(1).cast("long").alias("n")
     name = F.concat_ws("/", "split", "class").alias("name")
-    nested = files.filter("depth > 3").join(known, "split")
+    nested = files.filter("depth > 3").select("relative_path", "split", F.lit(1).alias("files"))
+    if folders is not None:
+        nested = nested.unionByName(folders.filter("depth = 3").select(F.concat("relative_path", F.lit("/")).alias("relative_path"), "split", F.lit(0).alias("files")))
     folder = F.array_join(F.slice(F.split("relative_path", "/"), 1, 3), "/")
     parts = [
         want_s.join(have_s, "split", "left_anti").select(F.lit("missing_split").alias("kind"), F.col("split").alias("name"), one),
@@ -56,7 +67,7 @@ def structure_anomalies(files: DataFrame, splits: list[str], classes: list[str])
         have.join(pairs, ["split", "class"], "left_anti").select(F.lit("unexpected_class").alias("kind"), name, one),
         files.filter((F.col("depth") == 1) & (F.col("relative_path") != ".gitkeep")).select(F.lit("root_file").alias("kind"), F.col("relative_path").alias("name"), one),
         files.filter("depth = 2").join(known, "split").select(F.lit("file_in_split").alias("kind"), F.col("relative_path").alias("name"), one),
-        nested.groupBy(folder.alias("name")).agg(F.count("*").alias("n")).select(F.lit("nested_directory").alias("kind"), "name", "n")]
+        nested.join(known, "split").groupBy(folder.alias("name")).agg(F.sum("files").alias("n")).select(F.lit("nested_directory").alias("kind"), "name", "n")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -64,31 +75,43 @@ def structure_anomalies(files: DataFrame, splits: list[str], classes: list[str])
 
 
 def image_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each image file in a class folder; undecodable files are rows with valid = false."""
-    files = list_files(spark, root).filter("depth = 3").filter(is_image(F.col("relative_path")))
-    bytes_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.sha2("content", 256).alias("sha256"), magic_format(F.col("content")).alias("format"))
-    decoded = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select(
-        F.col("image.origin").alias("origin"), *(F.when(F.col(f"image.{c}") >= 0, F.col(f"image.{c}")).alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"))))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    joined = files.join(bytes_, "path").join(decoded, plain("path") == plain("origin"), "left")
-    mode = F.when(F.col("channels") == 1, "L").when(F.col("channels") == 3, "RGB").when(F.col("channels") == 4, "RGBA")
-    valid = F.coalesce(F.col("width") > 0, F.lit(False))
-    return joined.select("relative_path", "split", "class", "extension", "width", "height", mode.alias("mode"), "channels", "format", "file_size_bytes", "sha256", valid.alias("valid"), F.when(~valid, "undecodable").alias("error"))
+    """One row for each image file in a class folder, in one scan of the tree; broken files are rows with valid = false and the
+    reason in ``error``."""
+    files = _image_files(spark, root).select("relative_path", "split", "class", "extension", "file_size_bytes", F.sha2("content", 256).alias("sha256"), "content")
+    seen = inspected(files)
+    return seen.select("relative_path", "split", "class", "extension", "width", "height", "mode", "channels", "format", "file_size_bytes", "sha256", F.col("error").isNull().alias("valid"), "error")
+
+
+def _image_files(spark: SparkSession, root: str) -> DataFrame:
+    """Image files in class folders with their content; other files' content is not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB).load(root)
+    return path_columns(raw.select("content", _relative(root).alias("relative_path"), F.col("length").alias("file_size_bytes"))).filter("depth = 3")
+
+
+def _relative(root: str) -> Column:
+    """``path`` below the root, which stands in it without its scheme."""
+    return F.regexp_extract("path", f"/{re.escape(re.sub('^[a-z0-9]+:/*', '', root).strip('/'))}/(.*)$", 1)
+
+
+def tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(files, directories) of a listing that includes empty directories."""
+    found = list_tree(spark, root)
+    files = path_columns(found.filter("not is_directory").select("relative_path", F.col("size").alias("file_size_bytes")))
+    return files, found.filter("is_directory").select("relative_path")
 
 
 def strict_scan(spark: SparkSession, root: str, splits: list[str], classes: list[str]) -> DataFrame:
     """Hashed image rows of a tree in which every declared split and class must exist."""
-    files = list_files(spark, root)
-    missing = structure_anomalies(files, splits, classes).filter(F.col("kind").isin("missing_split", "missing_class")).select("name").limit(20).collect()
+    files, folders = tree(spark, root)
+    missing = structure_anomalies(files, splits, classes, folders).filter(F.col("kind").isin("missing_split", "missing_class")).select("name").limit(20).collect()
     if missing:
         raise PreprocessingError("missing: " + ", ".join(sorted(r.name for r in missing)))
-    rows = files.filter("depth = 3").filter(F.col("split").isin(splits) & F.col("class").isin(classes) & is_image(F.col("relative_path")))
-    hashes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.sha2("content", 256).alias("sha256"))
-    return rows.join(hashes, "path").select("relative_path", "split", "class", "sha256", F.lit(True).alias("valid"))
+    rows = _image_files(spark, root).filter(F.col("split").isin(splits) & F.col("class").isin(classes))
+    return rows.select("relative_path", "split", "class", F.sha2("content", 256).alias("sha256"), F.lit(True).alias("valid"))
 
 
 def discover(spark: SparkSession, root: str, splits: list[str], classes: list[str]) -> DataFrame:
-    files = list_files(spark, root)
-    if files.filter(F.col("split").isin(splits)).isEmpty():
+    files, folders = tree(spark, root)
+    if files.select("split").unionByName(folders.select(F.col("relative_path").alias("split"))).filter(F.col("split").isin(splits)).isEmpty():
         raise DatasetAuditError(f"no expected split under {root}")
-    return structure_anomalies(files, splits, classes)
+    return structure_anomalies(files, splits, classes, folders)

@@ -48,10 +48,29 @@ def test_metadata(spark, tree):
     assert len(m) == 6
     a, bad, gray = m["Training/glioma/a.png"], m["Training/glioma/bad.png"], m["Training/notumor/gray.png"]
     assert (a.width, a.height, a.mode, a.format, a.valid, a.error) == (48, 32, "RGB", "PNG", True, None)
-    assert (bad.width, bad.valid, bad.error) == (None, False, "undecodable") and gray.mode == "L"
+    assert (bad.width, bad.valid, bad.error) == (None, False, "cannot identify image file") and gray.mode == "L"
     assert m["Training/glioma/b.jpg"].format == "PNG" and a.sha256 == m["Testing/glioma/copy.png"].sha256
 
 
+def test_empty_folders(spark, tmp_path):
+    """An empty class folder is there, a stray or nested empty folder is told, an empty split misses all its classes."""
+    for name in ("Training/glioma/a.png", "Training/weird/b.png", "Testing/glioma/nested/d.png", "Training/loose.txt", "stray.zip"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(png(np.zeros((2, 2, 3), np.uint8)))
+    for name in ("Training/notumor", "Testing/odd", "Training/glioma/hollow/deeper"):
+        (tmp_path / name).mkdir(parents=True)
+    got = {(r.kind, r.name, r.n) for r in filetree.discover(spark, str(tmp_path), SPLITS, CLASSES).collect()}
+    assert got == {("unexpected_class", "Training/weird", 1), ("unexpected_class", "Testing/odd", 1), ("missing_class", "Testing/notumor", 1), ("file_in_split", "Training/loose.txt", 1),
+                   ("root_file", "stray.zip", 1), ("nested_directory", "Testing/glioma/nested", 1), ("nested_directory", "Training/glioma/hollow", 0)}
+    (tmp_path / "only" / "Training").mkdir(parents=True)
+    assert {(r.kind, r.name) for r in filetree.discover(spark, str(tmp_path / "only"), SPLITS, CLASSES).collect()} == {("missing_split", "Testing"), ("missing_class", "Training/glioma"), ("missing_class", "Training/notumor")}
+    with pytest.raises(Exception, match="no folder"):
+        filetree.discover(spark, str(tmp_path / "none"), SPLITS, CLASSES)
+    (tmp_path / "other" / "x").mkdir(parents=True)
+    with pytest.raises(filetree.DatasetAuditError):
+        filetree.discover(spark, str(tmp_path / "other"), SPLITS, CLASSES)
+
+
 def test_preprocessing(spark, tree):
     src = spark.read.format("image").option("recursiveFileLookup", "true").load(tree)
     rows = {r.origin.rsplit("/", 1)[-1]: r for r in images.preprocessed(src, 8).collect()}

@@ -212,3 +212,17 @@ def test_duplicates_without_hash_and_listed_twice(spark):
     assert sorted((r.kept_relative_path, r.removed_relative_path) for r in duplicates.report(rows).collect()) == [("a", "a"), ("a", "b")]
     assert [(r.sha256, r.group_size) for r in duplicates.groups(rows).collect()] == [("x", 3)]
     assert duplicates.members(rows).count() == 3
+
+
+def test_keepers_take_any_columns_and_no_window(spark):
+    """Map columns can't be ordered; a copy listed many times is removed one time less."""
+    rows = spark.createDataFrame([("b", "x", {"k": 1}), ("a", "x", {"k": 2}), ("c", None, {"k": 3}), ("c", None, {"k": 3})] + [("d", "y", {})] * 25_001, "relative_path string, sha256 string, extra map<string,int>").withColumns({"class": F.lit("k"), "_own": F.lit(1)})
+    kept = duplicates.keep_first(rows)
+    assert kept.columns == rows.columns and sorted((r.relative_path, r.extra.get("k")) for r in kept.collect()) == [("a", 2), ("c", 3), ("c", 3), ("d", None)]
+    gone = duplicates.report(rows)
+    assert gone.count() == 25_001 and gone.filter("removed_relative_path = 'd'").count() == 25_000
+    assert [tuple(r) for r in duplicates.class_summary(rows).select("kept", "removed", "groups", "members").collect()] == [(4, 25_001, 2, 25_003)]
+    for df in (kept, gone):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+    assert rows.sparkSession.createDataFrame([], rows.schema).transform(duplicates.keep_first)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

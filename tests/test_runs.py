@@ -89,7 +89,7 @@ def test_dataset_and_single_images(spark, tmp_path):
     (tmp_path / "5.png").write_bytes(b"no image")
     manifest = spark.createDataFrame([(str(tmp_path / f"{i}.png"), i % 4) for i in range(7)], "path string, label_id int")
     out = dataset.build_dataset(manifest, batch_size=3, side=8).orderBy("path").collect()
-    assert [r.batch for r in out] == [0, 0, 0, 1, 1, 1, 2] and [r.error for r in out] == [None] * 5 + ["undecodable image", "missing file"]
+    assert [r.batch for r in out] == [0, 0, 0, 1, 1, 1, 2] and [r.error for r in out] == [None] * 5 + ["cannot identify image file", "missing file"]
     assert out[2].pixels[:3] == pytest.approx([100 / 255, 0, 1], abs=1e-6) and len(out[0].pixels) == 192
     train = lambda e: [(r.batch, r.path) for r in dataset.build_dataset(manifest, 3, True, 1, e, 8).collect()]
     assert sorted(train(0)) == sorted(train(0)) != sorted(train(1))
@@ -106,7 +106,7 @@ def test_dataset_and_single_images(spark, tmp_path):
     fine = dataset.explain_image(np.full((6, 6, 3), 9, np.uint8), lambda x: np.ones((2, 2)), 8)
     assert fine["success"] and fine["overlay"].shape == (8, 8, 3)
     failed = dataset.explain_image(b"no image", lambda x: x)
-    assert not failed["success"] and "undecodable" in failed["error"]
+    assert not failed["success"] and "cannot identify" in failed["error"]
 
 
 def test_scalars(spark):
