@@ -271,9 +271,18 @@ def _cuts(scores: DataFrame, good: DataFrame, code: Column, quantile: float, mar
 def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 0.05, prior: float = 100.0, batches: int = 4) -> DataFrame:
     """Per document: doc_id, lang, n_symbols, perplexity and threshold of the word model (both shrunk, a symbol), the
     same of the symbol model, keep. Documents are scored in ``batches`` by hash, so that fewer n-grams are on disk at once."""
+    return _judged(docs, labels, quantile, margin, prior, batches).drop("k1", "k2")
+
+
+def _text_keys(text: Column) -> list[Column]:
+    """128 bits for a text: a row is judged by its text and language alone."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("other"), text)]
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 0.05, prior: float = 100.0, batches: int = 4) -> DataFrame:
     spark = docs.sparkSession
     work = Workspace(spark, "kneser-ney")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), *(k.alias(n) for k, n in zip(_text_keys(F.col("text").cast("string")), ("k1", "k2"), strict=True)))
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
     good = good.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD)) == 0)
     trusted = work.stash(_likely(docs.select("doc_id", "text"), good, work).join(good.hint("merge"), "doc_id").select("text", "held"), "trusted")
@@ -285,7 +294,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, ma
         model = fit(train, work)
     if model is None:
         none = [F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold", "symbol_perplexity", "symbol_threshold")]
-        return docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), *none, F.lit(True).alias("keep"))
+        return docs.select("doc_id", "lang", "k1", "k2", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), *none, F.lit(True).alias("keep"))
     sent = work.broadcast(model)
     tables = fit_words(train, sent, work, "trusted")
     maybe, scores = known_grams(tables, work), None
@@ -302,14 +311,16 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, ma
         shrunk, limit = (F.col(bits) + prior * F.col(f"{m}_mean")) / (F.col("n_symbols") + prior), F.col(f"{m}_cut")
         out += [F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), shrunk)).alias(f"{name}perplexity"), F.pow(F.lit(2.0), limit).alias(f"{name}threshold")]
         within = within & F.coalesce(shrunk <= limit, F.lit(True))
-    return judged.select("doc_id", "lang", "n_symbols", *out, (F.col("n_symbols").eqNullSafe(0) | within).alias("keep"))
+    return judged.select("doc_id", "lang", "k1", "k2", "n_symbols", *out, (F.col("n_symbols").eqNullSafe(0) | within).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns as they are.
 
-    Rows with equal doc_id (NULL among them) share their fate: they stay where any of them is kept.
+    Each row goes by its own text and language, also where doc_id is NULL or repeated.
     """
-    name, ok = fresh_name("_doc", docs.columns), fresh_name("_ok", docs.columns)
-    judged = perplexities(docs, labels, **settings).groupBy(F.col("doc_id").alias(name)).agg(F.max("keep").alias(ok))
-    return docs.join(judged.filter(~F.col(ok)).select(name), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    names = [fresh_name(n, docs.columns) for n in ("_doc", "_lang", "_k1", "_k2")]
+    gone = _judged(docs, labels, **settings).filter(~F.col("keep")).select("doc_id", "lang", "k1", "k2").distinct().toDF(*names)
+    own = [F.col("doc_id").cast("long"), F.col("lang").cast("string"), *_text_keys(F.col("text").cast("string"))]
+    same = [mine.eqNullSafe(F.col(n)) for mine, n in zip(own, names, strict=True)]
+    return docs.join(gone, same, "left_anti")

@@ -321,7 +321,7 @@ def known_grams(tables: WordTables, work: Workspace):
 
 
 def word_costs(docs: DataFrame, sent, tables: WordTables, maybe) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, lang): doc_id, lang, n_symbols, bits (symbol model), word_bits."""
+    """Per row of ``docs`` (doc_id, text, lang, k1, k2): all but the text, n_symbols, bits (symbol model), word_bits."""
     from gleaner.llm.kneser_ney import UNIT, gram_keys
 
     spark = docs.sparkSession
@@ -338,7 +338,7 @@ def word_costs(docs: DataFrame, sent, tables: WordTables, maybe) -> DataFrame:
                 row, v, w, s = transitions(c, cost)
                 base = np.bincount(row, s * (FINE // UNIT) + escape, c.rows).astype(np.int64)
                 head = _pack(
-                    pickle.dumps((b.column("doc_id").slice(first, c.rows).to_pylist(), b.column("lang").slice(first, c.rows).to_pylist())),
+                    pickle.dumps([b.column(x).slice(first, c.rows).to_pylist() for x in ("doc_id", "lang", "k1", "k2")]),
                     np.diff(at), total[at[1:]] - total[at[:-1]], base)
                 rows = [(chunk % shards, 1, head)]
                 opening = v == START
@@ -387,8 +387,9 @@ def word_costs(docs: DataFrame, sent, tables: WordTables, maybe) -> DataFrame:
         head = None
 
         def done():
-            (ids, langs), n, symbol, word = head
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(n, pa.int64()), pa.array(symbol / UNIT, pa.float64()), pa.array(word / FINE, pa.float64())], ["doc_id", "lang", "n_symbols", "bits", "word_bits"])
+            (ids, langs, k1, k2), n, symbol, word = head
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(symbol / UNIT, pa.float64()), pa.array(word / FINE, pa.float64())],
+                                              ["doc_id", "lang", "k1", "k2", "n_symbols", "bits", "word_bits"])
 
         for b in batches:
             for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob"), strict=True):
@@ -404,6 +405,6 @@ def word_costs(docs: DataFrame, sent, tables: WordTables, maybe) -> DataFrame:
             yield done()
 
     width = shuffle_width(spark)
-    rows = tables.table.select("shard", "blob").mapInArrow(offer, schema).unionByName(docs.select("doc_id", "text", "lang").mapInArrow(ask, schema))
+    rows = tables.table.select("shard", "blob").mapInArrow(offer, schema).unionByName(docs.select("doc_id", "text", "lang", "k1", "k2").mapInArrow(ask, schema))
     told = rows.repartition(width, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "chunk long, kind int, blob binary")
-    return told.repartition(width, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, "doc_id long, lang string, n_symbols long, bits double, word_bits double")
+    return told.repartition(width, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, "doc_id long, lang string, k1 long, k2 long, n_symbols long, bits double, word_bits double")

@@ -117,10 +117,13 @@ def test_other_scripts_are_told_apart(spark):
     assert min(out[100].symbol_perplexity, out[101].symbol_perplexity) > 2 * out[102].symbol_perplexity
 
 
-def test_null_ids_share_their_fate(spark):
-    rows = [(i, "a clean line of text and more of it", "en") for i in range(40)] + [(None, "%%% $$$ ### @@@ ^^^ ~~~ |||| {{{{ }}}}" * 20, "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+def test_rows_go_by_their_own_text(spark):
+    """NULL and repeated ids don't shield junk, nor drag clean rows along."""
+    clean, junk = "a clean line of text and more of it", "%%% $$$ ### @@@ ^^^ ~~~ |||| {{{{ }}}}" * 20
     labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
-    assert kneser_ney.keep_good(docs, labels).filter("doc_id is null").count() == 0
-    both = docs.union(spark.createDataFrame([(None, "a clean line of text and more of it", "en")], docs.schema))
-    assert kneser_ney.keep_good(both, labels).filter("doc_id is null").count() == 2
+    rows = [(i, clean, "en", 1) for i in range(40)] + [(None, clean, "en", 1)] + [(None, junk, "en", 1)] * 5 + [(901, clean, "en", 1), (901, junk, "en", 1), (902, None, None, 1), (902, junk, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _doc int")
+    out = kneser_ney.keep_good(docs, labels)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.filter("doc_id is null or doc_id > 900").collect()), key=repr) == sorted([(None, clean), (901, clean), (902, None)], key=repr)
+    assert out.count() == 43
