@@ -17,7 +17,7 @@ from gleaner.llm.jaccard_join import jaccard_classes
 from gleaner.llm.kneser_ney import keep_good
 from gleaner.llm.line_dedup import dedup_lines
 from gleaner.llm.mixing import label_domains, mix_documents
-from gleaner.workspace import Workspace, fresh_name
+from gleaner.workspace import Workspace, fresh_name, scope
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's own tables go once its rows are written, and these once the next stage's are."""
     work = Workspace(spark, "pipeline")
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = work.stash(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = work.stash(stage(spark, docs, sf_dir), name)
+        if before:
+            work.discard(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

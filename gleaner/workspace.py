@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,31 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
 
 
+_open: ContextVar[list[Workspace] | None] = ContextVar("gleaner_workspaces", default=None)
+
+
+@contextmanager
+def scope():
+    """Workspaces opened inside are closed at the end, when what was made from them has been read or written:
+
+        with scope():
+            dedup_lines(docs).write.parquet(path)
+    """
+    mine: list[Workspace] = []
+    token = _open.set(mine)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for work in reversed(mine):
+            work.close()
+
+
 class Workspace:
     """One operator call's folder: ``stash`` writes a table and reads it back, ``discard`` drops one early.
 
     ``broadcast`` values live until ``release``, which destroys them all. Tables that a returned DataFrame still reads
-    stay until ``close``, or until the folder named in spark.checkpoint.dir is cleared.
+    stay until ``close``, the end of the ``scope`` around the call, or until the folder named in spark.checkpoint.dir is cleared.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -50,6 +71,9 @@ class Workspace:
             spark.conf.set(_BATCH, str(BATCH_BYTES))
         self.path = f"{shared_root(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
         self._sent: list = []
+        inside = _open.get()
+        if inside is not None:
+            inside.append(self)
 
     def stash(self, df: DataFrame, name: str, **measures):
         """The table as written; with ``measures`` (name to aggregate) also their values, taken while writing."""
