@@ -54,6 +54,25 @@ def size_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("files"), total.alias("total_bytes"), F.round(total / 1048576.0, 2).alias("total_mb"))
 
 
+#: What ``cube`` counts by, each in the same pass.
+CUBE = {"class": ["split", "class"], "extension": ["extension"], "mode": ["mode"], "size": ["width", "height"], "all": []}
+
+
+def cube(rows: DataFrame) -> DataFrame:
+    """Every count of an audit in one scan: ``part`` (a key of CUBE), its columns (others NULL), files, valid_files,
+    mismatched_files, bytes and the first valid path."""
+    want = expected_format(F.col("extension"))
+    odd = F.col("valid") & want.isNotNull() & ~want.eqNullSafe(F.col("format"))
+    names = ["split", "class", "extension", "mode", "width", "height"]
+    x = rows.select(*names, "valid", F.col("file_size_bytes").alias("bytes"), F.when(F.col("valid"), F.col("relative_path")).alias("path"), odd.alias("odd"))
+    out = x.groupingSets(list(CUBE.values()), *names).agg(
+        F.grouping_id().alias("id"), F.count("*").alias("files"), F.count_if("valid").alias("valid_files"), F.count_if("odd").alias("mismatched_files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.min("path").alias("first_path"))
+    part = F.lit(None).cast("string")
+    for name, columns in CUBE.items():  # a bit for each column that the set leaves out
+        part = F.when(F.col("id") == sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in columns), name).otherwise(part)
+    return out.select(part.alias("part"), *names, "files", "valid_files", "mismatched_files", "bytes", "first_path")
+
+
 def validity(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count_if("valid").alias("valid_files"), F.count_if(~F.col("valid")).alias("invalid_files"))
 
