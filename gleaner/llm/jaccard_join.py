@@ -232,23 +232,23 @@ def _join_blocks(percent: int):
 
 
 def _groups(one: DataFrame, work: Workspace) -> DataFrame:
-    """(rep, hub, band, gram, own, blocks): the sets of each group, gram 0 where the hub's postings are joined together.
+    """(rep, k1, k2, hub, band, gram, own, blocks): the sets of each group, gram 0 where the hub's postings are joined together.
 
     A set is at home (``own``) in the smaller of its two bands. Two sets of one home are compared there and not in the
     other band that they share.
     """
-    posted = one.select("rep", F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x"), "prefix")
-    posted = posted.select("rep", "x.band", "x.own", F.explode("prefix").alias("gram"))
+    posted = one.select("rep", "k1", "k2", F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x"), "prefix")
+    posted = posted.select("rep", "k1", "k2", "x.band", "x.own", F.explode("prefix").alias("gram"))
     held = posted.groupBy("gram", "band").agg(F.count("*").alias("holders"), F.min("rep").alias("hub"), F.max("own").alias("any")).filter("holders > 1 and any").drop("any")
     held = work.stash(held, "held")
-    members = work.stash(join_counted(posted, held, ["gram", "band"], "holders", F.col("rep")).select("hub", "band", "rep", "own").distinct(), "members")
+    members = work.stash(join_counted(posted, held, ["gram", "band"], "holders", F.col("rep")).select("hub", "band", "rep", "k1", "k2", "own").distinct(), "members")
     pairs = held.groupBy("hub", "band").agg(F.sum(F.col("holders").cast("double") * F.col("holders")).alias("pairs"))
     size = members.groupBy("hub", "band").agg(F.count("*").alias("members")).join(pairs, ["hub", "band"])
     size = work.stash(size.select("hub", "band", "members", ((F.col("members") > BLOCK) & (F.col("pairs") < F.col("members").cast("double") * F.col("members"))).alias("split")), "sizes")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias("blocks")
-    whole = join_counted(members, size.filter("not split").drop("split"), ["hub", "band"], "members", F.col("rep")).select("rep", "hub", "band", F.lit(0).cast("long").alias("gram"), "own", blocks("members"))
+    whole = join_counted(members, size.filter("not split").drop("split"), ["hub", "band"], "members", F.col("rep")).select("rep", "k1", "k2", "hub", "band", F.lit(0).cast("long").alias("gram"), "own", blocks("members"))
     parts = work.stash(held.join(size.filter("split").select("hub", "band"), ["hub", "band"]), "parts")
-    return whole.unionByName(join_counted(posted, parts, ["gram", "band"], "holders", F.col("rep")).select("rep", "hub", "band", "gram", "own", blocks("holders")))
+    return whole.unionByName(join_counted(posted, parts, ["gram", "band"], "holders", F.col("rep")).select("rep", "k1", "k2", "hub", "band", "gram", "own", blocks("holders")))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -271,16 +271,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     work.release()
     kept = sets.filter("k1 is not null and doc_id is not null")
     reps = work.stash(kept.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    one = kept.join(reps.select("k1", "k2", "rep"), (kept.doc_id == F.col("rep")) & (kept.k1 == reps.k1) & (kept.k2 == reps.k2), "inner")
-    one = one.select("rep", kept.k1, kept.k2, "n_shingles", "tokens", "levels", "prefix", size_band(F.col("n_shingles"), percent).alias("band"))
-    one = work.stash(one.dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "one")
+    # tokens stay where they are written until groups are known; of a representative only its prefix moves before
+    one = kept.select("doc_id", "k1", "k2", "n_shingles", "prefix").join(reps.select("k1", "k2", F.col("rep").alias("doc_id")), ["doc_id", "k1", "k2"])
+    one = one.select(F.col("doc_id").alias("rep"), "k1", "k2", size_band(F.col("n_shingles"), percent).alias("band"), "prefix")
+    one = work.stash(one.dropDuplicates(["rep", "k1", "k2"]), "one")
     ids = work.stash(sets.select("doc_id", "n_shingles", "k1", "k2"), "ids")
-    work.discard("sets")  # the sets of the representatives are in ``one``
     cut = work.stash(_groups(one, work), "groups").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = cut.join(one.select("rep", "n_shingles", "tokens", "levels"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = kept.select(F.col("doc_id").alias("rep"), "k1", "k2", "n_shingles", "tokens", "levels").dropDuplicates(["rep", "k1", "k2"])
+    dealt = cut.join(whole, ["rep", "k1", "k2"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "hub", "band", "gram", "own", "block", "n_shingles", "tokens", "levels", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     links = work.stash(dealt.groupBy("hub", "band", "gram", "bi", "bj").applyInArrow(_join_blocks(percent), "src long, dst long"), "links")
-    work.discard("one", "held", "members", "groups", "parts")
+    work.discard("sets", "one", "held", "members", "groups", "parts")
     classes = connected_components(links)
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id"))
     named = work.stash(named, "named")
