@@ -288,7 +288,8 @@ def _each(model: Model, data: DataFrame, names: list[str] | None, explain: bool,
         else:
             features, gradient, p, _ = network.activation_map(mine.layers, mine.weights, x, layer=layer)
             raw = np.maximum(features[0] @ gradient[0].mean(axis=(0, 1)), 0)
-            heat = bilinear(raw[..., None], *(side or mine.shape[:2]))[..., 0]
+            want = tuple(side or mine.shape[:2])
+            heat = raw if raw.shape == want else bilinear(raw[..., None], *want)[..., 0]
             top = heat.max()
             heat, p = (heat / top if top > 1e-8 else np.zeros_like(heat)).ravel(), p[0]
         if not np.isfinite(p).all() or (p < -1e-4).any() or (p > 1 + 1e-4).any():

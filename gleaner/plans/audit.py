@@ -370,16 +370,18 @@ def format_examples(spark, sf):
 
 
 @query("warning_messages", GROUPS + """, x AS (SELECT (SELECT count(*) FROM g WHERE n_splits > 1) AS a, (SELECT coalesce(sum(training_files), 0)::BIGINT FROM g WHERE n_splits > 1) AS b, (SELECT coalesce(sum(testing_files), 0)::BIGINT FROM g WHERE n_splits > 1) AS c,
- (SELECT count(*) FROM g WHERE n_classes > 1) AS d, (SELECT count(*) FROM files WHERE NOT valid) AS e, (SELECT count(*) FROM files WHERE extension = '.txt') AS f)
+ (SELECT count(*) FROM g WHERE n_classes > 1) AS d, (SELECT count(*) FROM files WHERE NOT valid) AS e, (SELECT count(*) FROM files WHERE extension = '.txt') AS f,
+ (SELECT count(*) FROM (SELECT *, CASE extension WHEN '.jpg' THEN 'JPEG' WHEN '.jpeg' THEN 'JPEG' WHEN '.png' THEN 'PNG' WHEN '.bmp' THEN 'BMP' END AS want FROM files) WHERE valid AND want IS NOT NULL AND want IS DISTINCT FROM format) AS h)
  SELECT message FROM (SELECT unnest([CASE WHEN a > 0 THEN a || ' exact-duplicate group(s) cross Training and Testing (' || b || ' Training + ' || c || ' Testing files) - potential leakage.' END,
   CASE WHEN d > 0 THEN d || ' duplicate group(s) contain conflicting class labels for identical content.' END, CASE WHEN e > 0 THEN e || ' corrupt/unreadable image file(s) found.' END,
-  CASE WHEN f > 0 THEN f || ' non-image file(s) found inside class folders.' END]) AS message FROM x) WHERE message IS NOT NULL""")
+  CASE WHEN f > 0 THEN f || ' non-image file(s) found inside class folders.' END, CASE WHEN h > 0 THEN h || ' image(s) whose real format does not match their extension.' END]) AS message FROM x) WHERE message IS NOT NULL""")
 def warning_messages(spark, sf):
     from gleaner.plans import runs
 
     f = t.files(spark, sf)
     s = duplicates.summary(f).select(F.col("cross_groups").alias("groups_crossing_splits"), F.col("cross_training_files").alias("cross_split_files_training"), F.col("cross_testing_files").alias("cross_split_files_testing"), F.col("conflicting_groups").alias("conflicting_class_groups"))
-    c = f.agg(F.count_if(~F.col("valid")).alias("invalid_images"), F.count_if(expected_format(F.col("extension")).isNull()).alias("non_image_files"), F.lit(0).alias("format_mismatches"))
+    c = f.agg(F.count_if(~F.col("valid")).alias("invalid_images"), F.count_if(expected_format(F.col("extension")).isNull()).alias("non_image_files"))
+    c = c.crossJoin(counts.format_mismatch(f).agg(F.count("*").alias("format_mismatches")))
     return runs.warning_messages(s.crossJoin(c))
 
 
@@ -405,3 +407,31 @@ def split_run_counts(spark, sf):
 
     f = t.files(spark, sf).withColumn("sha256", F.concat("split", "sha256"))
     return split_run(f, t.CLASSES)[0]["split_distribution"]
+
+
+@query("audit_cube", f"""WITH {t.FILES}, x AS (SELECT *, CASE WHEN valid THEN relative_path END AS path, valid AND want IS NOT NULL AND want IS DISTINCT FROM format AS odd
+  FROM (SELECT *, CASE extension WHEN '.jpg' THEN 'JPEG' WHEN '.jpeg' THEN 'JPEG' WHEN '.png' THEN 'PNG' WHEN '.bmp' THEN 'BMP' END AS want FROM files))
+SELECT CASE GROUPING(split, class, extension, mode, width, height) WHEN 15 THEN 'class' WHEN 55 THEN 'extension' WHEN 59 THEN 'mode' WHEN 60 THEN 'size' ELSE 'all' END AS part, split, class, extension, mode, width, height,
+  count(*) AS files, count(*) FILTER (valid) AS valid_files, count(*) FILTER (odd) AS mismatched_files, sum(file_size_bytes)::BIGINT AS bytes, min(path) AS first_path
+FROM x GROUP BY GROUPING SETS ((split, class), (extension), (mode), (width, height), ())""")
+def audit_cube(spark, sf):
+    """All counts of an audit in one scan."""
+    return counts.cube(t.files(spark, sf))
+
+
+WRITTEN = f"""WITH {t.FILES}, parted AS (SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'test' END AS part FROM files),
+m AS (SELECT relative_path, CASE WHEN doc_id % 97 = 5 THEN 'old' || doc_id ELSE sha256 END AS sha256, part FROM parted UNION ALL SELECT relative_path, sha256, part FROM parted WHERE doc_id % 89 = 3)"""
+
+
+@query("verify_manifests", WRITTEN + """, extra AS (SELECT relative_path, sha256, count(*) AS n FROM (SELECT relative_path, sha256 FROM m EXCEPT ALL SELECT relative_path, sha256 FROM files) GROUP BY ALL)
+SELECT CASE WHEN f.relative_path IS NULL THEN 'stale' ELSE 'doubled' END AS problem, e.relative_path, e.n FROM extra e LEFT JOIN files f USING (relative_path, sha256)
+UNION ALL SELECT 'leaking', min(relative_path), count(*) FROM m GROUP BY sha256 HAVING count(DISTINCT part) > 1""")
+def verify_manifests(spark, sf):
+    """Manifests of documents, some of whose rows are stale or doubled and whose parts share contents, against the documents."""
+    from gleaner.plans.runs import verify_manifests as verify
+
+    f = t.files(spark, sf)
+    at = F.col("doc_id")
+    part = F.when(at % 10 < 7, "train").when(at % 10 < 9, "validation").otherwise("test").alias("processed_split")
+    written = f.select("relative_path", F.when(at % 97 == 5, F.concat(F.lit("old"), at)).otherwise(F.col("sha256")).alias("sha256"), part)
+    return verify(written.unionByName(f.filter(at % 89 == 3).select("relative_path", "sha256", part)), f)

@@ -166,6 +166,16 @@ def _second(spark, sf):
     return _one(spark, sf, "transfer")
 
 
+def _second_table(spark, sf):
+    return predictions.predictions_table(_second(spark, sf).drop("y_pred"), t.NAMES)
+
+
+_both("confusion_wide", ORACLES["confusion_wide"], lambda spark, sf: _second(spark, sf).groupBy(F.col("y_true").alias("true_id")).agg(*(F.count_if(F.col("y_pred") == i).alias(f"pred_{i}") for i in range(K))))
+_both("misclassified", ORACLES["misclassified"], lambda spark, sf: predictions.misclassified(_second_table(spark, sf)).select("filepath", "true_label_id", "predicted_label_id"))
+_both("gradcam_examples", ORACLES["gradcam_examples"], lambda spark, sf: predictions.select_examples(_second_table(spark, sf), t.NAMES))
+_both("example_counts", ORACLES["example_counts"], lambda spark, sf: _second(spark, sf).agg(F.count_if(F.col("y_true") == F.col("y_pred")).alias("correct"), F.count_if(F.col("y_true") != F.col("y_pred")).alias("misclassified")))
+
+
 _both("predictions_table", ORACLES["predictions_table"], lambda spark, sf: predictions.predictions_table(_second(spark, sf).drop("y_pred"), t.NAMES))
 _both("confusion_normalised", ORACLES["confusion_normalised"], lambda spark, sf: metrics.normalised(metrics.confusion(_second(spark, sf), K)).withColumn("share", F.round("share", 9)))
 _both("classification_report", ORACLES["classification_report"], lambda spark, sf: metrics.report(metrics.confusion(_second(spark, sf), K), t.NAMES))

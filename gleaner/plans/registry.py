@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """The modules that register queries."""
-    from gleaner.plans import audit, evaluation  # noqa: F401
+    from gleaner.plans import audit, evaluation, imaging, learning  # noqa: F401
 
 
 _load()
