@@ -190,13 +190,14 @@ def test_hamming_plans(spark, monkeypatch):
     for t in (0, 8, 20):
         want = {(i, j, (codes[i] ^ codes[j]).bit_count()) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (codes[i] ^ codes[j]).bit_count() <= t}
         for m in {0, t + 1, max(1, t // 2)} if t != 20 else {0, 11}:
-            monkeypatch.setattr(near, "plan", lambda n, threshold, m=m: (m, 0.0))
+            bands = [near.Band(tuple(range(i * 64 // m, (i + 1) * 64 // m)), 0, t // m) for i in range(m)]
+            monkeypatch.setattr(near, "plan", lambda n, threshold, agree, bands=bands: (bands, 0.0, 0.0))
             monkeypatch.setattr(near, "BLOCK", 60)
             assert {(r.i, r.j, r.distance) for r in near.hamming_pairs(df, t).collect()} == want, (t, m)
         monkeypatch.undo()
         for n in (2000, 10**6, 10**9):
-            m, candidates = near.plan(n, t)
-            print(t, n, m, candidates)
+            bands, _, candidates = near.plan(n, t)
+            print(t, n, len(bands), candidates)
             assert candidates <= n * n / 2 and (t == 20 or n < 10**6 or candidates < n * n / 1000)
         rows = df.select("id", F.lit("Training").alias("split"), F.lit("x").alias("class"))
         s = near.summary(df, rows, t).first()
@@ -226,3 +227,62 @@ def test_keepers_take_any_columns_and_no_window(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan
     assert rows.sparkSession.createDataFrame([], rows.schema).transform(duplicates.keep_first)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_hamming_join_stays_below_all_pairs(spark, capsys):
+    """Rows sent and joined at threshold 8: expected by the plan and counted, for 10**5 and 10**6 codes."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (10**5, 10**6):
+        found, sent, joined = near.plan(n, 8)
+        codes = rng.integers(-(2**63), 2**63, n, dtype=np.int64)
+        rows = meets = 0
+        for b in found:
+            sides = []
+            for radius in (b.left, b.right):
+                flips = np.array([near._signed(sum(1 << i for i in c)) for k in range(radius + 1) for c in __import__("itertools").combinations(b.bits, k)], np.int64)
+                own = codes & np.int64(near._signed(b.mask))
+                packed = sum(((own >> i) & 1) << at for at, i in enumerate(b.bits))
+                low = sum(((flips >> i) & 1) << at for at, i in enumerate(b.bits))
+                counts = np.zeros(1 << len(b.bits), np.int64)
+                for f in low.tolist():
+                    counts += np.bincount(packed ^ f, minlength=len(counts))
+                sides.append(counts)
+                rows += n * len(flips)
+            meets += int((sides[0] * sides[1]).sum())
+        with capsys.disabled():
+            print(f"\n{n} codes, {len(found)} bands: {rows:.3g} rows sent, {meets:.3g} joined, {meets / (n * (n - 1) / 2):.2g} of all pairs")
+        assert rows == sent and abs(meets - n * sum(near.probes(len(b.bits), min(b.left, b.right)) for b in found) - joined) < 0.5 * joined
+        assert rows + meets < n * n / 2 / 50
+    skewed = [0.5] * 40 + [0.999] * 24  # half of the bits hardly tell: no band may be left with only such bits
+    assert all(sum(i < 40 for i in b.bits) >= 10 for b in near.plan(10**5, 8, skewed)[0])
+    assert [sum(b.radius + 1 for b in near.plan(10**5, t)[0]) for t in (0, 1, 3, 8)] == [1, 2, 4, 9]
+
+
+def test_hamming_join_by_every_plan(spark, monkeypatch):
+    """Bands probed from one side, from both, by one or two bits, on codes with dead bits and clusters."""
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(50) << 3 for _ in range(25)]
+    codes = {c ^ sum(1 << rng.randrange(64) for _ in range(0)) for c in base}
+    for c in base:
+        for _ in range(8):
+            x = c
+            for _ in range(rng.randrange(1, 7)):
+                x ^= 1 << rng.randrange(64)
+            codes.add(x)
+    codes = sorted(codes)
+    sign = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(i, sign(x)) for i, x in enumerate(codes)], "id long, fp long")
+    want = {t: {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (codes[i] ^ codes[j]).bit_count() <= t} for t in (1, 4, 8)}
+    seen = set()
+    for t, n in ((1, 10), (4, 10**4), (4, 10**6), (8, 10**4), (8, 10**6), (8, 10**8)):
+        real = near.plan
+        monkeypatch.setattr(near, "plan", lambda _, threshold, agree, n=n, real=real: real(n, threshold, agree))
+        seen |= {(b.left, b.right) for b in real(n, t)[0]}
+        pairs = [(r.i, r.j) for r in near.hamming_pairs(df, t).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want[t], (t, n)
+        monkeypatch.setattr(near, "plan", real)
+    assert len(seen) > 3 and max(a for a, _ in seen) == 2
