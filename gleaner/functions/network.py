@@ -64,16 +64,16 @@ def initial(layers: Layers, shape: tuple[int, ...], seed: int = 42) -> Weights:
     return out
 
 
-def trained_names(kind: str) -> tuple[str, ...]:
+def trained_names(kind: str, hold_norms: bool = False) -> tuple[str, ...]:
     """The arrays of a layer that gradients change; running moments are not among them."""
-    return {"conv": ("kernel", "bias"), "dense": ("kernel", "bias"), "norm": ("scale", "shift")}.get(kind, ())
+    return {"conv": ("kernel", "bias"), "dense": ("kernel", "bias"), "norm": () if hold_norms else ("scale", "shift")}.get(kind, ())
 
 
-def summary(layers: Layers, shape: tuple[int, ...], frozen: int = 0) -> list[dict]:
+def summary(layers: Layers, shape: tuple[int, ...], frozen: int = 0, hold_norms: bool = False) -> list[dict]:
     """A row a layer: name, output shape, parameters, and how many of them training changes."""
     rows = []
     for i, ((kind, *_), out, w) in enumerate(zip(layers, shapes(layers, shape), initial(layers, shape), strict=True)):
-        trained = sum(w[n].size for n in trained_names(kind)) if i >= frozen else 0
+        trained = sum(w[n].size for n in trained_names(kind, hold_norms)) if i >= frozen else 0
         rows.append({"layer": i, "name": f"{kind}_{i}", "output": "x".join(map(str, out)), "parameters": sum(a.size for a in w.values()), "trainable": trained})
     return rows
 
@@ -91,10 +91,11 @@ def _pooled(x: np.ndarray) -> np.ndarray:
     return x[:, : h // 2 * 2, : w // 2 * 2].reshape(n, h // 2, 2, w // 2, 2, c).transpose(0, 1, 3, 5, 2, 4).reshape(n, h // 2, w // 2, c, 4)
 
 
-def forward(layers: Layers, weights: Weights, x: np.ndarray, first: int = 0, training: bool = False, frozen: int = 0, total: Callable = lambda v: v, keep: Callable | None = None) -> tuple[np.ndarray, list]:
+def forward(layers: Layers, weights: Weights, x: np.ndarray, first: int = 0, training: bool = False, frozen: int = 0, hold_norms: bool = False, total: Callable = lambda v: v, keep: Callable | None = None) -> tuple[np.ndarray, list]:
     """Logits and what the reverse pass needs of each layer from ``first`` on.
 
-    In training, layers from ``frozen`` on normalise by the batch's moments and update the running ones, and ``keep(layer,
+    In training, layers from ``frozen`` on normalise by the batch's moments and update the running ones (not with
+    ``hold_norms``), and ``keep(layer,
     rate, units)`` gives each row's kept units of a dropout layer."""
     held = []
     for at in range(first, len(layers)):
@@ -104,7 +105,7 @@ def forward(layers: Layers, weights: Weights, x: np.ndarray, first: int = 0, tra
             y = np.maximum(y, 0)
             held.append((x, y))
         elif kind == "norm":
-            if live:
+            if live and not hold_norms:
                 flat = x.reshape(-1, x.shape[-1])
                 sums = total(np.concatenate([flat.sum(axis=0), (flat * flat).sum(axis=0), [len(flat)]]))
                 n, c = max(sums[-1], 1), x.shape[-1]
@@ -194,6 +195,12 @@ def cross_entropy(p: np.ndarray, label: np.ndarray) -> np.ndarray:
     return -np.log(np.clip(p[np.arange(len(p)), label], 1e-7, 1))
 
 
+def head_start(layers: Layers) -> int:
+    """Where the head begins: after the last layer that keeps places."""
+    at = [i for i, x in enumerate(layers) if x[0] in ("conv", "norm", "pool", "mean")]
+    return at[-1] + 1 if at else 0
+
+
 def last_conv(layers: Layers) -> int:
     at = [i for i, x in enumerate(layers) if x[0] == "conv"]
     if not at:

@@ -90,8 +90,16 @@ def expected_vs_found(rows: DataFrame, column: str, names: list[str]) -> DataFra
     return want.join(have, "name", "left_anti").withColumn("status", F.lit("missing")).unionByName(have.join(want, "name", "left_anti").withColumn("status", F.lit("unexpected")))
 
 
-def first_per_class(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("class").agg(F.min_by(F.struct("relative_path", "sha256"), F.col("relative_path")).alias("x")).select("class", "x.relative_path", "x.sha256")
+def first_per_class(rows: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """The row with the smallest path of each class. With ``classes``, of these only and in no case without one of them: the
+    result then fails with the names of those that have no row, when it is read."""
+    first = rows.groupBy("class").agg(F.min_by(F.struct("relative_path", "sha256"), F.col("relative_path")).alias("x")).select("class", "x.relative_path", "x.sha256")
+    if classes is None:
+        return first
+    want = dim(rows.sparkSession, classes, "class")
+    missing = F.concat(F.lit("no rows of class "), F.col("class"))
+    found = want.join(first, "class", "left")
+    return found.orderBy("ordinal").select("class", F.when(F.col("relative_path").isNull(), F.raise_error(missing).cast("string")).otherwise(F.col("relative_path")).alias("relative_path"), "sha256")
 
 
 def in_reference_order(rows: DataFrame, splits: list[str], classes: list[str]) -> DataFrame:

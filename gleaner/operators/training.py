@@ -123,14 +123,14 @@ def _kept_units(seed: int, epoch: int, keys: list[str]) -> Callable[[int, float,
     return lambda layer, rate, units: np.array([np.random.default_rng([seed, epoch, layer, n]).random(units) >= rate for n in numbers]).reshape(len(keys), units)
 
 
-def step(model: Model, x: np.ndarray, label: np.ndarray, rows: int, rate: float, frozen: int, keep: Callable, total: Callable) -> tuple[float, float]:
+def step(model: Model, x: np.ndarray, label: np.ndarray, rows: int, rate: float, frozen: int, keep: Callable, total: Callable, hold_norms: bool = False) -> tuple[float, float]:
     """One optimiser step on this task's share of a batch of ``rows`` rows: the batch's loss and its right answers."""
-    logits, held = network.forward(model.layers, model.weights, x, training=True, frozen=frozen, total=total, keep=keep)
+    logits, held = network.forward(model.layers, model.weights, x, training=True, frozen=frozen, hold_norms=hold_norms, total=total, keep=keep)
     p = network.softmax(logits)
     dy = p.copy()
     dy[np.arange(len(p)), label] -= 1
     _, grads = network.backward(model.layers[frozen:], model.weights[frozen:], held[frozen:], dy / rows, total=total)
-    names = [(i + frozen, n) for i, (kind, *_) in enumerate(model.layers[frozen:]) for n in network.trained_names(kind)]
+    names = [(i + frozen, n) for i, (kind, *_) in enumerate(model.layers[frozen:]) for n in network.trained_names(kind, hold_norms)]
     flat = np.concatenate([[network.cross_entropy(p, label).sum() if len(p) else 0.0, float((p.argmax(axis=1) == label).sum()) if len(p) else 0.0], *(grads[i - frozen][n].ravel() for i, n in names)])
     flat = total(flat)
     model.steps += 1
@@ -152,7 +152,7 @@ def _arrays(b: pa.RecordBatch, at: int, shape: tuple[int, ...]) -> np.ndarray:
     return b.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, *shape)
 
 
-def _epoch(ordered: DataFrame, n_rows: int, batch: int, model: Model, rate: float, frozen: int, seed: int, epoch: int) -> tuple[Model, float, float]:
+def _epoch(ordered: DataFrame, n_rows: int, batch: int, model: Model, rate: float, frozen: int, hold_norms: bool, seed: int, epoch: int) -> tuple[Model, float, float]:
     """``ordered``: key, pixels, label, batch; partitions sorted by batch. The model after the epoch, its loss and accuracy."""
     sent = ordered.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     steps = -(-n_rows // batch)
@@ -185,7 +185,7 @@ def _epoch(ordered: DataFrame, n_rows: int, batch: int, model: Model, rate: floa
 
         loss = right = 0.0
         for i, keys, x, label in shares():
-            one, ok = step(mine, x, label, min(batch, n_rows - i * batch), rate, frozen, _kept_units(seed, epoch, keys), ring.total)
+            one, ok = step(mine, x, label, min(batch, n_rows - i * batch), rate, frozen, _kept_units(seed, epoch, keys), ring.total, hold_norms)
             loss, right = loss + one, right + ok
         ring.close()
         if ring.rank == 0:
@@ -213,13 +213,13 @@ def evaluate(model: Model, data: DataFrame) -> tuple[float, float, int]:
 
 
 def train(model: Model, data: DataFrame, validation: DataFrame, epochs: int = 30, batch: int = 32, rate: float = 1e-3, stop_after: int = 5, cut_after: int = 2, factor: float = 0.5,
-          floor: float = 1e-6, min_delta: float = 1e-4, frozen: int = 0, seed: int = 42, workers: int | None = None, checkpoint: str | None = None) -> tuple[Model, DataFrame]:
+          floor: float = 1e-6, min_delta: float = 1e-4, frozen: int = 0, hold_norms: bool = False, seed: int = 42, workers: int | None = None, checkpoint: str | None = None) -> tuple[Model, DataFrame]:
     """The model with the weights of its best epoch (smallest validation loss), and the history, a row an epoch.
 
     ``data`` and ``validation``: key string (distinct), pixels array<float> of the model's shape, label int; rows without pixels
     take no part. Training stops after ``stop_after`` epochs without a new best; the rate is multiplied by ``factor`` after
     ``cut_after`` epochs that don't better the best by ``min_delta``, counted anew after a cut. Layers before ``frozen``
-    stay as they are. ``checkpoint``: where each best model is saved. ``workers``: tasks that must run at once.
+    stay as they are, and with ``hold_norms`` so does every normalisation. ``checkpoint``: where each best model is saved. ``workers``: tasks that must run at once.
     """
     spark = data.sparkSession
     work = Workspace(spark, "training")
@@ -235,7 +235,7 @@ def train(model: Model, data: DataFrame, validation: DataFrame, epochs: int = 30
         # only keys are ranked; the pixels move once, to the task that holds their share
         order = batches(rows.select("key", F.md5(F.concat(F.lit(f"{seed}|{epoch}|"), "key")).alias("_turn")), ["_turn", "key"], batch).select("key", "batch")
         ordered = rows.join(order, "key").repartition(width, "key").sortWithinPartitions("batch", "key")
-        model, loss, accuracy = _epoch(ordered, n, batch, model, rate, frozen, seed, epoch)
+        model, loss, accuracy = _epoch(ordered, n, batch, model, rate, frozen, hold_norms, seed, epoch)
         val_loss, val_accuracy, _ = evaluate(model, held_out)
         saved = val_loss < best_loss
         history.append((epoch, loss, accuracy, val_loss, val_accuracy, rate, saved))
@@ -257,6 +257,30 @@ def train(model: Model, data: DataFrame, validation: DataFrame, epochs: int = 30
     return best, spark.createDataFrame(history, HISTORY)
 
 
+def train_stages(model: Model, data: DataFrame, validation: DataFrame, open_layers: int, epochs: tuple[int, int] = (15, 15), rates: tuple[float, float] = (1e-3, 1e-5), checkpoint: str | None = None, **settings) -> tuple[Model, DataFrame, dict]:
+    """Transfer in two stages: first the head alone, then also the last ``open_layers`` layers below it at a lower rate, with
+    every normalisation held. The second stage's best model is taken where its loss is at most the first's.
+
+    The model, the history of both (with ``stage``), and what was selected."""
+    head = network.head_start(model.layers)
+    settings.setdefault("stop_after", 4)
+    fresh = lambda m: Model(m.layers, m.shape, m.weights)  # noqa: E731  a stage begins with an optimiser of its own
+    first, told = train(fresh(model), data, validation, epochs[0], rate=rates[0], frozen=head, **settings)
+    second, more = train(fresh(first), data, validation, epochs[1], rate=rates[1], frozen=max(0, head - open_layers), hold_norms=True, **settings)
+    history = told.withColumn("stage", F.lit(1)).unionByName(more.withColumn("stage", F.lit(2)))
+    best = {r["stage"]: r["best"] for r in history.groupBy("stage").agg(F.min("val_loss").alias("best")).collect()}  # two rows
+    chosen = 2 if best[2] <= best[1] else 1
+    out = second if chosen == 2 else first
+    if checkpoint:
+        out.save(data.sparkSession, checkpoint)
+    return out, history, {"selected_stage": chosen, "best_val_loss": {f"stage{k}": v for k, v in sorted(best.items())}}
+
+
+def model_summary(spark: SparkSession, model: Model, frozen: int = 0) -> DataFrame:
+    """A row a layer: name, output shape, parameters and how many of them are trained."""
+    return spark.createDataFrame(network.summary(model.layers, model.shape, frozen), "layer int, name string, output string, parameters long, trainable long")
+
+
 def predict(model: Model, data: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``data`` (with pixels and perhaps error) with prob, predicted, confidence, label_name; a bad row has its error instead."""
     return _each(model, data, names, explain=False)

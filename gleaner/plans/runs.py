@@ -9,12 +9,18 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from typing import Any
 
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.dims import label_id, ordinal
+from gleaner.functions.images import overlay
 from gleaner.functions.scalar import expected_format, percent
 from gleaner.operators import counts, duplicates, metrics, near, predictions, splits
+from gleaner.operators.training import Model, explain
 from gleaner.schemas import METADATA
 from gleaner.sources.reports import audit_report, rows_of
 from gleaner.sources.sinks import write_set
@@ -67,12 +73,16 @@ def _duplicates(groups: DataFrame, valid: int, splits_: list[str]) -> dict:
 
 
 def _perceptual(rows: DataFrame, codes: DataFrame | None, threshold: int) -> dict:
-    """``codes``: relative_path, fp (NULL where hashing failed); None skips the section."""
+    """``codes``: relative_path, fp (NULL where hashing failed); None skips the section. What goes wrong here is told in the
+    section and doesn't end the audit."""
     if codes is None:
         return {"status": "skipped", "method": None}
-    keyed = rows.select(F.xxhash64("relative_path").alias("id"), "relative_path", "split", "class").join(codes, "relative_path")
-    s = near.summary(keyed.select("id", "fp"), keyed.select("id", "split", "class"), threshold).first()
-    n = keyed.agg(F.count("fp").alias("hashed"), F.count_if(F.col("fp").isNull()).alias("failed")).first()
+    try:
+        keyed = rows.select(F.xxhash64("relative_path").alias("id"), "relative_path", "split", "class").join(codes, "relative_path")
+        s = near.summary(keyed.select("id", "fp"), keyed.select("id", "split", "class"), threshold).first()
+        n = keyed.agg(F.count("fp").alias("hashed"), F.count_if(F.col("fp").isNull()).alias("failed")).first()
+    except (PySparkException, Py4JError) as e:
+        return {"status": "failed", "method": None, "error": f"{type(e).__name__}: {str(e).splitlines()[0]}"}
     return {
         "status": "completed", "method": f"pHash (64-bit), Hamming distance <= {threshold}", "images_hashed": n.hashed, "hash_failures": n.failed, "near_duplicate_pairs": s.pairs, "pairs_capped": False,
         "groups": s.groups, "files_in_groups": s.files, "largest_group_size": s.largest, "cross_split_groups": s.cross_split_groups, "conflicting_class_groups": s.conflicting_groups, "note": NOTE}
@@ -191,6 +201,28 @@ def write_evaluation(folder: str, tables: dict[str, DataFrame], document: dict[s
     return write_set(spark, folder, files, documents)
 
 
+def explanation_run(model: Model, pixels: DataFrame, table: DataFrame, names: list[str], k: int = 4) -> tuple[DataFrame, dict[str, Any]]:
+    """Activation maps of chosen predictions: the first correct one of each class and the first ``k`` wrong ones.
+
+    ``pixels``: filepath, pixels, perhaps error; ``table``: ``predictions.predictions_table``. A row an example, with heat and
+    overlay (RGB in [0, 1], flat) or its error, and a document that counts them."""
+    examples = predictions.select_examples(table, names, k)
+    rows = examples.join(pixels, "filepath", "left")  # at most k and a row a class
+    rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("pixels").isNull(), "missing image"))) if "error" in pixels.columns else rows.withColumn("error", F.when(F.col("pixels").isNull(), "missing image"))
+    mapped = explain(model, rows, names)
+    h, w = model.shape[:2]
+
+    @F.pandas_udf("array<float>")
+    def blended(image: pd.Series, heat: pd.Series) -> pd.Series:
+        of = lambda x, m: None if x is None or m is None else overlay(np.broadcast_to(np.asarray(x, float).reshape(h, w, -1), (h, w, 3)), np.asarray(m, float).reshape(h, w)).astype(np.float32).ravel()
+        return pd.Series([of(x, m) for x, m in zip(image, heat, strict=True)])
+
+    out = Workspace(table.sparkSession, "explanations").stash(mapped.withColumn("overlay", blended("pixels", "heat")).drop("pixels"), "maps")
+    wrong = F.col("true_label_name") != F.col("predicted_label_name")
+    n = out.agg(F.count_if(~wrong).alias("correct"), F.count_if(wrong).alias("misclassified"), F.count("heat").alias("explained"), F.count("error").alias("failed")).first()
+    return out, {"generated_at_utc": utc_stamp(), "correct_examples": n.correct, "misclassified_examples": n.misclassified, "explained": n.explained, "failed": n.failed, "classes": names}
+
+
 def verify_manifests(manifests: DataFrame, tree: DataFrame) -> DataFrame:
     """What is wrong with written manifests (relative_path, sha256, processed_split) against the tree (relative_path, sha256):
     problem, relative_path, n. Bags are compared, so a row that a manifest has twice is told.

@@ -137,3 +137,25 @@ def test_split_and_evaluation_files(spark, rows, tmp_path):
     assert matrix[0] == ["class", *CLASSES] and sum(int(x) for r in matrix[1:] for x in r[1:]) == 20
     assert [r[0] for r in read(tmp_path / "e" / "two_classification_report.csv")[1:]] == [*CLASSES, "accuracy", "macro avg", "weighted avg"]
     assert len(read(tmp_path / "e" / "one_predictions.csv")) == 21 and json.loads((tmp_path / "e" / "one_metrics.json").read_text())["model"] == "one"
+
+
+def test_sections_that_fail_are_told(spark, rows):
+    """A failing fingerprint fails its section, not the audit; a class without a row is an error that names it."""
+    others, issues = spark.createDataFrame([], "relative_path string, extension string, file_size_bytes long"), spark.createDataFrame([], "kind string, name string, n long")
+    codes = rows.select("relative_path", F.when(F.col("relative_path") >= "", F.raise_error(F.lit("no fingerprint")).cast("long")).alias("fp"))
+    d = runs.audit_run(rows, others, issues, SPLITS, CLASSES, codes)[1]
+    assert d["perceptual_duplicates"]["status"] == "failed" and d["perceptual_duplicates"]["error"] and d["counts"]["total_images"] == 60
+    assert "status: failed" in reports.audit_report(d)
+    assert [r["class"] for r in counts.first_per_class(rows, ["notumor", "glioma"]).collect()] == ["notumor", "glioma"]
+    with pytest.raises(Exception, match="no rows of class pituitary"):
+        counts.first_per_class(rows, [*CLASSES, "pituitary"]).collect()
+
+
+def test_model_summary_file(spark, tmp_path):
+    from gleaner.functions import network
+    from gleaner.operators.training import Model, model_summary
+
+    model = Model.new(network.baseline(2, (3, 4), 5), (8, 8, 3))
+    sinks.write_set(spark, tmp_path, {"model_summary.csv": (model_summary(spark, model, frozen=6), ["layer"])})
+    got = read(tmp_path / "model_summary.csv")
+    assert got[1] == ["0", "conv_0", "8x8x3", "84", "0"] and got[-1] == ["8", "dense_8", "2", "12", "12"] and len(got) == 10

@@ -175,3 +175,44 @@ def test_predictions_and_maps(spark):
     with pytest.raises(Exception, match="no convolution"):
         assert [r for r in training.explain(flat, df).collect() if r.error is None] == []
         raise ValueError("no convolution: all rows have errors")
+
+
+def test_two_stages(spark):
+    """The head alone, then layers below it with normalisation held; the later stage wins ties."""
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 3, 40)
+    x = rng.normal(size=(40, *SHAPE)) + label[:, None, None, None] * 0.6
+    df = spark.createDataFrame([(f"i{i}", [float(v) for v in x[i].ravel()], int(label[i])) for i in range(40)], "key string, pixels array<float>, label int")
+    start = Model.new(LAYERS, SHAPE, 5)
+    assert network.head_start(LAYERS) == 6
+    model, told, chosen = training.train_stages(start, df, df, open_layers=3, epochs=(2, 2), rates=(0.02, 0.01), batch=16)
+    h = told.orderBy("stage", "epoch").collect()
+    assert [(r.stage, r.epoch, r.learning_rate) for r in h] == [(1, 1, 0.02), (1, 2, 0.02), (2, 1, 0.01), (2, 2, 0.01)]
+    low = {s: min(r.val_loss for r in h if r.stage == s) for s in (1, 2)}
+    assert chosen["selected_stage"] == (2 if low[2] <= low[1] else 1) and abs(training.evaluate(model, df)[0] - min(low.values())) < 1e-9
+    same = lambda i: all(np.array_equal(a, start.weights[i][n]) for n, a in model.weights[i].items())
+    assert all(same(i) for i in (0, 1, 2, 4)) and not same(6)
+    assert chosen["selected_stage"] == 1 or not same(3)
+    tied = training.train_stages(start, df, df, open_layers=3, epochs=(1, 1), rates=(0.0, 0.0), batch=16)[2]
+    assert tied["selected_stage"] == 2
+
+
+def test_explanation_run(spark):
+    from gleaner.operators import predictions
+    from gleaner.plans import runs
+
+    names = ["a", "b", "c"]
+    rng = np.random.default_rng(2)
+    shape = (7, 6, 3)
+    model = Model.new([("conv", 3, 3), ("pool",), ("mean",), ("dense", 3, "")], shape, 1)
+    x = rng.random((12, *shape))
+    p = network.probabilities(model.layers, model.weights, x)
+    df = spark.createDataFrame([(f"f{i:02d}", [float(v) for v in x[i].ravel()]) for i in range(11)], "filepath string, pixels array<float>")
+    scored = spark.createDataFrame([(f"f{i:02d}", int(p[i].argmax()) if i % 2 else (int(p[i].argmax()) + 1) % 3, [float(v) for v in p[i]]) for i in range(12)], "filepath string, y_true int, prob array<double>")
+    out, d = runs.explanation_run(model, df, predictions.predictions_table(scored, names), names)
+    rows = {r.example: r for r in out.collect()}
+    assert d["misclassified_examples"] == 4 and d["failed"] == 0 and d["explained"] == len(rows) == 4 + d["correct_examples"]
+    one = rows["misclassified_01"]
+    assert one.filepath == "f00" and len(one.overlay) == 126 and len(one.heat) == 42 and 0 <= min(one.overlay) and max(one.overlay) <= 1
+    out, d = runs.explanation_run(model, df.filter("filepath <> 'f00'"), predictions.predictions_table(scored, names), names)
+    assert d["failed"] == 1 and {r.error for r in out.collect()} == {None, "missing image"}
