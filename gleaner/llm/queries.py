@@ -83,7 +83,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents"))
+    return substring_dedup(_table(spark, sf_dir, "documents"), stable=True)
 
 
 @_query

@@ -210,13 +210,17 @@ def _apply(window: int):
     return of
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8, stable: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space).
+
+    The texts are scanned three times and must come in the same order each time, so they are written first, unless the
+    caller says that they are ``stable``: plain scans of files that don't change. Checksums hold the scans together.
+    """
     spark = docs.sparkSession
     gram = min(gram, window)
     work = Workspace(spark, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if any(x in docs._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "InMemoryTableScan", "ExistingRDD")):
+    if not stable:
         docs = work.stash(docs, "documents")
     marks = sketch.mark_repeated(docs.select("text"), _minimizers(window, gram), [2], 2, [FOLD])
     sent = work.broadcast(marks)
