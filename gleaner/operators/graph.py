@@ -30,7 +30,8 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[far], node[root[far]]
 
 
-def _folded(batches):
+def folded(batches):
+    """Batches of edges (u, v) to forests that join the same nodes."""
     held, size = [], 0
 
     def emit():
@@ -57,7 +58,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Ends when a round changes no edge; raises after ``max_rounds``. Rows with a NULL end are ignored.
     """
     work = Workspace(edges.sparkSession, "components")
-    e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u <> v").mapInArrow(_folded, "u long, v long")
+    e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u <> v").mapInArrow(folded, "u long, v long")
     marks = {"n": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     e, last = work.stash(e.distinct(), "e0", **marks)
     for i in range(1, max_rounds + 1):
